@@ -3,7 +3,7 @@
 Every document of a source should be taken ``target / source_size`` times. The whole part is certain; the fractions
 are rounded in pairs: mass moves from one document to the other, in a randomly chosen direction whose odds keep both
 expectations, until one of them is 0 or 1. What moves is words, so a pair's words stay the same and at the end a
-source misses its target by less than one document. Pairs are formed within blocks of about ``BLOCK`` documents; each
+source misses its target by less than one document. Longer documents are settled first, so that one is short. Pairs are formed within blocks of about ``BLOCK`` documents; each
 block hands its one open document on to the next level, a reduction tree whose depth is the logarithm of the rows.
 """
 
@@ -57,7 +57,7 @@ def _uniform(*what) -> Column:
 
 
 def _unit(item: Column, x: Column) -> Column:
-    return F.struct(item["h"].alias("h"), item["id"].alias("id"), item["size"].alias("size"), item["m"].alias("m"), item["base"].alias("base"), item["sure"].alias("sure"), x.cast("double").alias("x"))
+    return F.struct(item["order"].alias("order"), item["h"].alias("h"), item["id"].alias("id"), item["size"].alias("size"), item["m"].alias("m"), item["base"].alias("base"), item["sure"].alias("sure"), x.cast("double").alias("x"))
 
 
 def _pair(state: Column, item: Column, seed: int) -> Column:
@@ -77,7 +77,7 @@ def _pair(state: Column, item: Column, seed: int) -> Column:
     return F.when(held.isNull(), F.struct(_unit(item, y).alias("open"), state["done"].alias("done"))).otherwise(F.struct(still.alias("open"), settled.alias("done")))
 
 
-UNIT = "struct<h:bigint,id:{id},size:bigint,m:bigint,base:bigint,sure:bigint,x:double>"
+UNIT = "struct<order:bigint,h:bigint,id:{id},size:bigint,m:bigint,base:bigint,sure:bigint,x:double>"
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 17) -> DataFrame:
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     extra = F.col("part") * F.col("m")
     given = units.join(aims, units["source"].eqNullSafe(aims["source"])).select(
         units["source"], "source_size", "target", "blocks",
-        F.struct(F.xxhash64(F.lit(seed), "id", "size").alias("h"), F.col("id"), F.col("size"), F.col("m"), F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("long").alias("base"), F.when(F.col("size") > 0, F.floor(extra)).otherwise(0).cast("long").alias("sure"), F.when(F.col("size") > 0, extra - F.floor(extra)).otherwise(0.0).cast("double").alias("x")).alias("u"),
+        F.struct((-F.col("size")).alias("order"), F.xxhash64(F.lit(seed), "id", "size").alias("h"), F.col("id"), F.col("size"), F.col("m"), F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("long").alias("base"), F.when(F.col("size") > 0, F.floor(extra)).otherwise(0).cast("long").alias("sure"), F.when(F.col("size") > 0, extra - F.floor(extra)).otherwise(0.0).cast("double").alias("x")).alias("u"),
     )
     keys = ["source", "source_size", "target"]
     settled_now = (F.col("u.x") < EPS) | (F.col("u.x") > 1 - EPS)
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         cur = folded.filter("s.open IS NOT NULL").select(*keys, F.ceil(F.col("blocks") / BLOCK).cast("long").alias("blocks"), F.col("s.open").alias("u"))
         n_blocks = 0 if last else math.ceil(n_blocks / BLOCK)
     drawn = F.when(_uniform(F.lit(seed), F.lit("last"), F.col("u.h")) < F.col("u.x"), 1.0).otherwise(0.0)
-    finished.append(cur.select(*keys, F.struct(*[F.col(f"u.{c}").alias(c) for c in ("h", "id", "size", "m", "base", "sure")], drawn.alias("x")).alias("u")))
+    finished.append(cur.select(*keys, F.struct(*[F.col(f"u.{c}").alias(c) for c in ("order", "h", "id", "size", "m", "base", "sure")], drawn.alias("x")).alias("u")))
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
