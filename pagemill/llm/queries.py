@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, token_counts
+from . import chat_format, embedding_dedup, exact_dedup, html_extraction, lm_scoring, mixing, near_dedup, packing, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -21,6 +29,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -29,11 +41,32 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_packing": op3_packing,
-    "op4_mixing": op4_mixing,
-    "op6_token_counts": op6_token_counts,
-    "op7_exact_dedup": op7_exact_dedup,
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_chat_format,
+        op3_packing,
+        op4_mixing,
+        op5_embedding_dedup,
+        op6_token_counts,
+        op7_exact_dedup,
+        op8_lm_scoring,
+        op9_quality_classifier,
+        op10_minhash_near_dedup,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat_format.SQL, "op7_exact_dedup": exact_dedup.SQL}
