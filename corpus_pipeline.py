@@ -4,34 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import exact_dedup, mixing, packing
+from pagemill.llm import exact_dedup, mixing, near_dedup, packing, quality
 from pagemill.llm._common import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.drop_rejected(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id stays."""
     return exact_dedup.drop_exact_duplicates(docs).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
+    return near_dedup.keep_first(docs).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.apply_mix(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their ids."""
+    """Pieces of sequences of at most 2048 tokens, with their ids."""
     return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
+    ("quality_classifier", keep_good),
     ("exact_dedup", drop_exact_copies),
+    ("minhash_near_dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
 
-#: The mix draws by a hash of its own and the classifier is fitted, so SQL has no equal of these rows.
+#: The classifier is fitted and the mix draws by a hash of its own, so SQL has no equal of these rows.
 ORACLE_SQL = None
 
 
