@@ -6,5 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import items, logs_and_texts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _module in (items, logs_and_texts):
+    for _name, _f in vars(_module).items():
+        if callable(_f) and not _name.startswith("_") and getattr(_f, "__module__", "") == _module.__name__:
+            QUERIES[_name] = _f
+            if sql := getattr(_module, _name.upper(), None):
+                ORACLE_SQL[_name] = sql
