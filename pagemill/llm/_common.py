@@ -7,8 +7,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -68,3 +71,27 @@ class Scratch:
 def small(spark: SparkSession, n_bytes: int, limit: int = 64 << 20) -> bool:
     """Whether a side of that measured size may be broadcast."""
     return n_bytes <= limit
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in ``keys``; runs longer than ``most`` come in parts of that length."""
+    left: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        left = t if left is None else pa.concat_tables([left, t])
+        if not len(left):
+            continue
+        change = np.zeros(len(left) - 1, bool)
+        for k in keys:
+            x = left[k].to_numpy()
+            change |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            for at in range(s, e, most or e - s):
+                yield left.slice(at, min(most or e - s, e - at))
+        left = left.slice(cuts[-1])
+        while most and len(left) > most:
+            yield left.slice(0, most)
+            left = left.slice(most)
+    if left is not None and len(left):
+        yield left

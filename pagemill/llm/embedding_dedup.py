@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, with_code
+from ._common import Scratch, runs, with_code
 from .graph import components
 
 K = 10
@@ -56,30 +56,6 @@ def _cleaned(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, raw binary, dim int")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
-    """Consecutive rows that agree in ``keys``; runs longer than ``most`` come in parts of that length."""
-    left: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        left = t if left is None else pa.concat_tables([left, t])
-        if not len(left):
-            continue
-        change = np.zeros(len(left) - 1, bool)
-        for k in keys:
-            x = left[k].to_numpy()
-            change |= x[1:] != x[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            for at in range(s, e, most or e - s):
-                yield left.slice(at, min(most or e - s, e - at))
-        left = left.slice(cuts[-1])
-        while most and len(left) > most:
-            yield left.slice(0, most)
-            left = left.slice(most)
-    if left is not None and len(left):
-        yield left
-
-
 def _planted(classes: DataFrame, n: int) -> DataFrame:
     """First edges (a, b, sim): the K nearest of each class within its leaf of each tree."""
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
@@ -99,7 +75,7 @@ def _planted(classes: DataFrame, n: int) -> DataFrame:
                     yield pa.record_batch([pa.array(np.full(len(unit), tree * (1 << 20) + int(dim))), pa.array(code.astype(np.int64)), pa.array(side[:, depth]), part.column(0), blobs], names=["tree", "code", "at", "cid", "v"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leaf in _runs(batches, ["tree", "code"], LARGEST_LEAF):
+        for leaf in runs(batches, ["tree", "code"], LARGEST_LEAF):
             ids = leaf["cid"].to_numpy()
             if len(ids) < 2:
                 continue
@@ -146,7 +122,7 @@ def _introduced(graph: DataFrame, classes: DataFrame, turn: int, n: int) -> Data
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         held = 0
-        for group in _runs(batches, ["c"]):
+        for group in runs(batches, ["c"]):
             ids = group["m"].to_numpy()
             if len(ids) < 2:
                 continue
@@ -203,7 +179,7 @@ def _enlarged(full: DataFrame, least: float) -> DataFrame:
     work = dealt.select("label", lo.alias("lo"), hi.alias("hi"), F.when(F.col("mine") == hi, 1).otherwise(0).alias("side"), "cid", "raw", "dim", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _runs(batches, ["label", "lo", "hi"]):
+        for piece in runs(batches, ["label", "lo", "hi"]):
             ids, m, side = piece["cid"].to_numpy(), piece["m"].to_numpy(), piece["side"].to_numpy()
             x = _unit(piece["raw"].to_pylist(), None)
             same = piece["lo"][0].as_py() == piece["hi"][0].as_py()

@@ -5,9 +5,9 @@ half as many hash evaluations are needed. Bands of ``ROWS`` values put documents
 are compared on their full sets.
 
 Documents with equal sets are one class from the start. A bucket's classes are first compared with its smallest class
-only, which joins nearly all of a large group by as many comparisons as it has members. Then, and only between classes
-that are still in different components, all pairs of a bucket are compared. So no pair that shares a bucket is lost,
-and a group is never expanded into its pairs.
+only, which joins nearly all of a large group by as many comparisons as it has members. Buckets that still hold
+classes of different components then compare these within one place and pass on no more pairs than join components.
+So no link between classes that share a bucket is lost, and no table ever holds the pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from ._common import Scratch, small, with_code
+from ._common import Scratch, runs, small, with_code
 from .graph import components
 from .shingles import WORDS, jaccard_at_least, shingle_sets
 
@@ -128,6 +128,82 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
     return scratch.save(dealt.mapInArrow(run, "a long, b long"), f"{name}_links")
 
 
+def _proposed(members: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """Pairs (a, b) that would join the components of every bucket that holds more than one.
+
+    A bucket's sets meet in one place as 32-bit hashes, under which two sets seem as similar as they are or a little
+    more. Members outside of the bucket's largest component are compared with all members by one matrix product, and
+    of the pairs that seem similar enough only those that join two components are passed on: fewer than there are
+    components. Another turn uses other hashes.
+    """
+    marked = members.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    marked = scratch.save(marked.join(mixed, "key"), f"mixed{turn}")
+    factor = wordhash.mix(np.array([turn], np.uint64)) | np.uint64(1)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            elements, sizes = shingle_sets(batch.column(1).to_pylist())
+            short = ((elements * factor) >> np.uint64(32)).astype(np.uint32)
+            ends = np.cumsum(sizes)
+            yield pa.record_batch([batch.column(0), pa.array([short[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["cid", "s"])
+
+    needed = texts.join(marked.select("cid").distinct(), "cid", "left_semi").select("cid", "t")
+    sets = scratch.save(needed.mapInArrow(hashed, "cid long, s binary"), f"sets{turn}")
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket in runs(batches, ["key"]):
+            a, b = _joining(bucket["cid"].to_numpy(), bucket["label"].to_numpy(), [np.frombuffer(x, np.uint32) for x in bucket["s"].to_pylist()])
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = marked.join(sets, "cid").select("key", "cid", "label", "s").repartition("key").sortWithinPartitions("key", "cid")
+    return scratch.save(dealt.mapInArrow(plan, "a long, b long").distinct(), f"plan{turn}")
+
+
+#: Cells of the incidence matrix of a bucket that are held at a time.
+CELLS = 8 << 20
+
+
+def _joining(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Pairs of one bucket that seem similar and join two of its components, the smaller id first."""
+    n = np.array([len(x) for x in sets])
+    names, counts = np.unique(label, return_counts=True)
+    outer = np.flatnonzero(label != names[counts.argmax()])
+    distinct, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = often > 1  # what only one member has is in no intersection
+    column = np.cumsum(shared) - 1
+    row, at = row[shared[at]], column[at[shared[at]]]
+    width = max(1, CELLS // len(sets))
+    both = np.zeros((len(outer), len(sets)), np.float32)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, int(shared.sum()), width):
+        s, e = np.searchsorted(at, [lo, lo + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[s:e], at[s:e] - lo] = 1
+        both += m[outer] @ m.T
+    hit = (100 * both >= PERCENT * (n[outer, None] + n[None, :] - both)) & (label[outer, None] != label[None, :])
+    parent = {x: x for x in names.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        x, y = root(int(label[outer[i]])), root(int(label[j]))
+        if x != y:
+            parent[x] = y
+            p, q = int(ids[outer[i]]), int(ids[j])
+            a.append(min(p, q))
+            b.append(max(p, q))
+    return a, b
+
+
 def _similar_size(x: str, y: str):
     return (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
 
@@ -162,26 +238,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = scratch.save(stars, "stars")
     first = stars.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), "b")
     links = _linked(first, texts, scratch, "first")
-    tested = first.select("a", "b")
-    for turn in ("second", "third"):
-        labels = components(links, scratch, f"{turn}_labels")
-        of = lambda c, x: labels.select(F.col("node").alias(c), F.col("label").alias(x))
-        if turn == "second":
-            open_pairs = stars.select("a", "b")
-            open_pairs = open_pairs.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        else:
-            marked = members.select("key", "cid", "n").join(of("cid", "label"), "cid", "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
-            mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            marked = scratch.save(marked.join(mixed, "key"), "mixed")
-            x, y = marked.alias("x"), marked.alias("y")
-            open_pairs = (
-                x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & _similar_size("x.n", "y.n"))
-                .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-                .distinct()
-            )
-        new = _linked(open_pairs.join(tested, ["a", "b"], "left_anti"), texts, scratch, turn)
-        tested = tested.unionByName(scratch.read(f"{turn}_pairs", tested.schema))
+    labels = components(links, scratch, "first_labels")
+    of = lambda c, x: labels.select(F.col("node").alias(c), F.col("label").alias(x))
+    apart = stars.select("a", "b").join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    links = links.unionByName(_linked(apart.select("a", "b").join(first, ["a", "b"], "left_anti"), texts, scratch, "second"))
+    turn = 0
+    while True:
+        turn += 1
+        labels = components(links, scratch, f"labels{turn}")
+        proposed = _proposed(members, labels, texts, scratch, turn)
+        n_proposed = proposed.count()
+        if not n_proposed:
+            break
+        new = _linked(proposed, texts, scratch, f"proposed{turn}")
         links = links.unionByName(new)
+        if new.count() == n_proposed:  # every bucket's plan held, so nothing is left between its components
+            break
     labels = components(links, scratch, "labels")
     linked = classes.select("cid", "n", "f1", "f2", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     linked = scratch.save(linked, "linked")
