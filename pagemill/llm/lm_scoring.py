@@ -24,7 +24,7 @@ from ._common import Scratch, with_code
 
 HELD_OUT, TUNING, FOLDS = 2, 3, 7
 #: Bytes of text in a block, and of the corpus for each place that counts.
-BLOCK_BYTES, PLACE_BYTES, MAX_PLACES = 24 << 20, 6 << 20, 1 << 15
+BLOCK_BYTES, PLACE_BYTES, MAX_PLACES = 8 << 20, 6 << 20, 1 << 15
 BUCKETS = 32
 _U = np.uint64
 START, END = wordhash.mix(np.array([1 << 60, 1 << 61], _U))
@@ -58,36 +58,38 @@ class Block:
         self.n_tokens = self.n_words + 1
         ends = np.cumsum(self.n_tokens)
         self.starts = ends - self.n_tokens
-        tokens = np.full(int(self.n_tokens.sum()), END, _U)
-        inside = np.ones(len(tokens), bool)
-        inside[ends - 1] = False
-        tokens[inside] = h
-        before = np.full(len(tokens), START, _U)
-        before[1:] = tokens[:-1]
-        before[self.starts] = START
-        fold = np.repeat(folds, self.n_tokens)
+        # START stands before each document; it is asked for like a word and counted once for each
+        stream = np.full(len(h) + 2 * n_docs, END, _U)
+        begins = self.starts + np.arange(n_docs)
+        inside = np.ones(len(stream), bool)
+        inside[begins] = inside[ends + np.arange(n_docs)] = False
+        stream[begins] = START
+        stream[inside] = h
+        del h, inside
+        fold = np.repeat(folds, self.n_tokens + 1)
         train, held = fold != HELD_OUT, fold == TUNING
-        # START is asked for like a word; it is counted once for each document
-        self.words, at = np.unique(np.concatenate([tokens, np.full(n_docs, START, _U)]), return_inverse=True)
-        self.token_word = at[: len(tokens)].astype(np.int32)
-        start_at = int(np.searchsorted(self.words, START)) if n_docs else 0
+        del fold
+        self.words, at = np.unique(stream, return_inverse=True)
+        at = at.astype(np.int32)
         n = len(self.words)
-        self.word_all = np.bincount(self.token_word[train], minlength=n)
-        self.word_held = np.bincount(self.token_word[train & held], minlength=n)
-        if n_docs:
-            self.word_all[start_at] += int((folds != HELD_OUT).sum())
-            self.word_held[start_at] += int((folds == TUNING).sum())
-        pairs = wordhash.mix(before * _LEFT + tokens * _RIGHT)
-        self.pairs, first, at = np.unique(pairs, return_index=True, return_inverse=True)
-        self.token_pair = at.astype(np.int32)
+        self.word_all = np.bincount(at[train], minlength=n)
+        self.word_held = np.bincount(at[held], minlength=n)
+        second = np.ones(len(stream), bool)  # every token but START is the second of a pair
+        second[begins] = False
+        second = np.flatnonzero(second)
+        self.token_word = at[second]
+        pairs = wordhash.mix(stream[second - 1] * _LEFT + stream[second] * _RIGHT)
+        del stream
+        train, held = train[second], held[second]
+        self.pairs, first, which = np.unique(pairs, return_index=True, return_inverse=True)
+        del pairs
+        self.token_pair = which.astype(np.int32)
+        del which
         n = len(self.pairs)
-        self.pair_all = np.bincount(at[train], minlength=n)
-        self.pair_held = np.bincount(at[train & held], minlength=n)
-        self.pair_word = self.token_word[first]
-        previous = np.full(len(tokens), start_at, np.int32)
-        previous[1:] = self.token_word[:-1]
-        previous[self.starts] = start_at
-        self.pair_context = previous[first]
+        self.pair_all = np.bincount(self.token_pair[train], minlength=n)
+        self.pair_held = np.bincount(self.token_pair[held], minlength=n)
+        self.pair_word = at[second[first]]
+        self.pair_context = at[second[first] - 1]
 
     def questions(self, places: int) -> Iterator[tuple]:
         """(place, kind, keys, counts of all training tokens, counts of the tuning fold); kind 1 is words, 2 pairs."""
