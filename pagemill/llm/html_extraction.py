@@ -23,7 +23,7 @@ from ._common import with_code
 RAW_TEXT = frozenset("script style textarea title xmp noframes noembed iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head nav footer aside form script style noscript template svg math button select option textarea iframe object canvas audio video dialog menu title datalist fieldset".split())
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset dialog figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ZONES = frozenset(("article", "main"))
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations toc pagination pager login signup signin widget copyright legal disclaimer hidden search skip tags toolbar".split()
@@ -149,7 +149,6 @@ def blocks(page: str) -> list[Block]:
             leave(stack.pop())
         in_article_header = name == "header" and zones > 0
         if skipped_at < 0 and (_unwanted(name, page[m.end() : end]) or name == "header" and not in_article_header):
-            flush()
             skipped_at = len(stack)
         stack.append(name)
         if skipped_at < 0:
@@ -181,6 +180,10 @@ def classify(found: list[Block]) -> None:
             b.label = None
         else:
             b.label = False
+    if not zoned and not any(b.label for b in found):  # a language without a list: length and links have to do
+        for b in found:
+            if len(b.text) > LONG and b.linked <= LINKED * len(b.text):
+                b.label = True
     decided = [b.label for b in found]
     near: list[tuple[int, bool] | None] = [None] * len(found)
     last = None
