@@ -175,11 +175,12 @@ def _joining(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> tupl
     shared = often > 1  # what only one member has is in no intersection
     column = np.cumsum(shared) - 1
     row, at = row[shared[at]], column[at[shared[at]]]
-    width = max(1, CELLS // len(sets))
+    n_shared = int(shared.sum())
+    width = max(1, min(n_shared, CELLS // len(sets)))
     both = np.zeros((len(outer), len(sets)), np.float32)
     order = np.argsort(at, kind="stable")
     row, at = row[order], at[order]
-    for lo in range(0, int(shared.sum()), width):
+    for lo in range(0, n_shared, width):
         s, e = np.searchsorted(at, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
         m[row[s:e], at[s:e] - lo] = 1
