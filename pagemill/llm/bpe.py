@@ -11,6 +11,7 @@ import base64
 import functools
 import re
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -20,7 +21,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: From here on the two libraries may follow different versions of Unicode, and the slower one decides.
 PLAIN_BELOW = "԰"
-CACHE = 600_000
+CACHE = 1_000_000
 
 
 class Encoder:
@@ -41,37 +42,70 @@ class Encoder:
         return self.exact.encode(piece, add_special_tokens=False).ids
 
 
-class Ids(dict):
-    """piece -> its ids; emptied when full."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encode = encoder.ids
-
-    def __missing__(self, piece: str):
-        if len(self) >= CACHE:
-            self.clear()
-        ids = tuple(self.encode(piece))
-        if len(piece) < 40:
-            self[piece] = ids
-        return ids
-
-
-class Counts(dict):
-    """piece -> its number of tokens. Starts with the pieces proven to be one token."""
+class Known:
+    """What is known of pieces, up to a bound; unknown ones of a text are encoded together."""
+
+    def __init__(self, encoder: Encoder, start: dict | None = None):
+        self.encoder, self.start = encoder, start or {}
+        self.values = dict(self.start)
+        vocabulary = encoder.exact.get_vocab()
+        self.n_bytes = np.zeros(len(vocabulary), np.int64)
+        #: by id: whether a token ends as a sentence does
+        self.closing = np.zeros(len(vocabulary), bool)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # one character of the vocabulary stands for one byte
+            self.closing[i] = token.endswith((".", "!", "?"))
+
+    def value(self, ids: list[int]):
+        return tuple(ids)
+
+    def of(self, pieces: list[str]) -> list:
+        missing = set(pieces).difference(self.values)
+        if not missing:
+            return list(map(self.values.__getitem__, pieces))
+        if len(self.values) + len(missing) > CACHE:
+            self.values = dict(self.start)
+            missing = set(pieces).difference(self.values)
+        self._learn(missing)
+        out = list(map(self.values.__getitem__, pieces))
+        for p in missing:
+            if len(p) > 60:  # long pieces rarely come again
+                del self.values[p]
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        joined = []
+        for p in missing:
+            # pieces that begin with white space and end without keep apart when they are put together
+            if p[0] in " \n\t\r" and not p[-1].isspace() and "<|" not in p and (p.isascii() or max(p) < PLAIN_BELOW):
+                joined.append(p)
+            else:
+                self.values[p] = self.value(self.encoder.ids(p))
+        if joined:
+            ids = self.encoder.fast.encode_ordinary("".join(joined))
+            ends = np.cumsum(self.n_bytes[ids])
+            wanted = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in joined])
+            cuts = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[cuts], wanted):
+                raise ValueError("a token runs across two pieces")
+            at = 0
+            for p, cut in zip(joined, (cuts + 1).tolist(), strict=True):
+                self.values[p] = self.value(ids[at:cut])
+                at = cut
+
+
+class Ids(Known):
+    """Pieces to their ids."""
+
+
+class Counts(Known):
+    """Pieces to their number of tokens. Starts with the pieces proven to be one token, which are never encoded."""
 
     def __init__(self, encoder: Encoder, whole: frozenset[str]):
-        super().__init__(dict.fromkeys(whole, 1))
-        self.whole, self.encode = whole, encoder.ids
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        n = len(self.encode(piece))
-        if len(piece) < 40:
-            self[piece] = n
-        return n
+        super().__init__(encoder, dict.fromkeys(whole, 1))
+
+    def value(self, ids: list[int]) -> int:
+        return len(ids)
 
 
 @functools.cache

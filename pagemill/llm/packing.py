@@ -29,17 +29,15 @@ END_ID = 1
 DOCUMENT_CUT, SENTENCE_CUT, HARD_CUT = 0.0, 4.0, 16.0
 #: Tokens after which the windows of a task so far are settled; bounds memory.
 SEGMENT = 1_000_000
-_SENTENCE_END = (".", "!", "?", "…", "。", "！", "？")
 
 
 def tokens_of(text: str, ids: bpe.Ids) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a document with its end, and the positions after its sentences."""
-    pieces = bpe.PIECE.findall(text)
-    each = [ids[p] for p in pieces]
-    flat = np.fromiter(itertools.chain.from_iterable(each), np.uint32)
+    each = ids.of(bpe.PIECE.findall(text))
     ends = np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))
-    stops = ends[[i for i, p in enumerate(pieces) if p.endswith(_SENTENCE_END)]] if pieces else ends
-    return np.append(flat, np.uint32(END_ID)), stops
+    n = int(ends[-1]) if len(ends) else 0
+    flat = np.fromiter(itertools.chain(itertools.chain.from_iterable(each), (END_ID,)), np.uint32, n + 1)
+    return flat, ends[ids.closing[flat[ends - 1]]]
 
 
 def boundaries(lengths: list[int], stops: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +56,7 @@ def boundaries(lengths: list[int], stops: list[np.ndarray], window: int) -> tupl
 def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
     """Indices of the boundaries that the cheapest windows end at."""
     p, pen, n = at.tolist(), cost.tolist(), len(at)
-    powers = [1 << k for k in range(window.bit_length() - 2, 6, -1)]
+    powers = [1 << k for k in range(window.bit_length() - 2, window.bit_length() - 4, -1) if k >= 0]
     index = {x: i for i, x in enumerate(p)}
     f, back = [0.0] * n, [0] * n
     queue: deque[int] = deque()

@@ -23,7 +23,7 @@ def _counts(vocabulary: str, whole: frozenset[str]) -> bpe.Counts:
 
 
 def count_tokens(text: str, counts: bpe.Counts) -> int:
-    return sum(map(counts.__getitem__, bpe.PIECE.findall(text)))
+    return sum(counts.of(bpe.PIECE.findall(text)))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, vocabulary: str = "byte_bpe_50k") -> DataFrame:
