@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -68,6 +70,13 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, now rather than at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
+
+
 def small(spark: SparkSession, n_bytes: int, limit: int = 64 << 20) -> bool:
     """Whether a side of that measured size may be broadcast."""
     return n_bytes <= limit

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, runs, with_code
+from ._common import Scratch, free_shuffles, runs, with_code
 from .graph import components
 
 K = 10
@@ -235,7 +235,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             old = graph.withColumn("fresh", F.lit(False))
             graph = scratch.save(_best(old.unionByName(_introduced(graph, classes, turn, n).withColumn("fresh", F.lit(True)))), f"graph{turn}")
             scratch.drop(f"graph{turn - 1}")
-            spark.sparkContext._jvm.System.gc()  # lets Spark drop the round's shuffle files
+            free_shuffles(spark)
         links = scratch.save(_checked(graph, classes, least), f"links{turn}")
         labels = components(links, scratch, f"labels{turn}")
         full = graph.filter(F.col("sim") >= least - ROUGH).groupBy("a").count().filter(F.col("count") >= K).select(F.col("a").alias("node"))

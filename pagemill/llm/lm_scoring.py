@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from ._common import Scratch, with_code
+from ._common import Scratch, free_shuffles, with_code
 
 HELD_OUT, TUNING, FOLDS = 2, 3, 7
 #: Bytes of text in a block, and of the corpus for each place that counts.
@@ -231,7 +231,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     asked = rows.select("block", "fold", "t").mapInArrow(_ask(places), _ASK)
     said = scratch.save(asked.groupBy("place").applyInArrow(_answer, _SAY), "said")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the questions' shuffle files now
+    del asked
+    free_shuffles(spark)
     sums = said.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_held", "v", "v_fit")]).first()
     n, n_fit, v = sums["n"], sums["n"] - sums["n_held"], sums["v"]
     said = said.drop("n", "n_held", "v", "v_fit")
@@ -258,7 +259,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     lam = em(got["cell"].to_numpy() // 401**2, w, got["f2"].to_numpy() / w, got["f1"].to_numpy() / w, 1 / (sums["v_fit"] + 1))
     if not n:
         lam = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    spark.sparkContext._jvm.System.gc()
+    del cells
+    free_shuffles(spark)
     id_kind = rows.schema["id"].dataType.simpleString()
 
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
