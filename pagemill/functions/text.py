@@ -152,8 +152,8 @@ def split_compact(text: Column) -> Column:
     strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(COMPACT_HEAD), F.lit(0)), F.lit(-1))
     # the last heading is where its text stands for the last time
-    at = F.length(text) - F.length(F.substring_index(text, last, -1)) - F.length(last)
-    parted = F.struct(strip(F.left(text, at)).alias("final"), strip(F.substring_index(text, last, -1)).alias("compact"))
+    at = F.length(text) - F.length(F.call_function("substring_index", text, last, F.lit(-1))) - F.length(last)
+    parted = F.struct(strip(F.left(text, at)).alias("final"), strip(F.call_function("substring_index", text, last, F.lit(-1))).alias("compact"))
     return F.when(last.isNotNull(), parted).otherwise(F.struct(strip(text).alias("final"), derive_compact(text).alias("compact")))
 
 

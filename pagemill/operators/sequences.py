@@ -307,7 +307,8 @@ def longest_chain(rows: DataFrame, doc: str, line: str, chapter: str, index: str
                         found.append((doc_now, chain(held)))
                     doc_now, held = d, []
                 held.append((at, (c, k)))
-            yield result(found)
+            if found:
+                yield result(found)
         if held:
             yield result([(doc_now, chain(held))])
 
