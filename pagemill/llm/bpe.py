@@ -21,7 +21,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: From here on the two libraries may follow different versions of Unicode, and the slower one decides.
 PLAIN_BELOW = "԰"
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 class Encoder:

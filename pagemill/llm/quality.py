@@ -21,6 +21,8 @@ from ._common import with_code
 #: Labelled rows that the model is fitted on at most: those whose ids have the smallest hashes.
 SAMPLE = 20_000
 ACCEPT = 0.3
+#: Rows whose statistics are held at a time.
+SLICE = 1000
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), id_col).select("t", "y")  # bounded by sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (w.slice(i, SLICE) for w in batches for i in range(0, w.num_rows, SLICE)):
             x = statistics(batch.column(0).to_pylist())
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
@@ -160,9 +162,11 @@ def with_scores(docs: DataFrame, model: Model, text_col: str, score: str) -> Dat
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = shared.value.score(statistics(batch.column(at).to_pylist()))
-            yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*batch.schema.names, score])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                scores = shared.value.score(statistics(batch.column(at).to_pylist()))
+                yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*batch.schema.names, score])
 
     return docs.mapInArrow(run, schema)
 
