@@ -24,7 +24,7 @@ from ._common import Scratch, free_shuffles, with_code
 
 HELD_OUT, TUNING, FOLDS = 2, 3, 7
 #: Bytes of text in a block, and of the corpus for each place that counts.
-BLOCK_BYTES, PLACE_BYTES, MAX_PLACES = 8 << 20, 6 << 20, 1 << 15
+BLOCK_BYTES, PLACE_BYTES, MAX_PLACES = 5 << 20, 6 << 20, 1 << 15
 BUCKETS = 32
 _U = np.uint64
 START, END = wordhash.mix(np.array([1 << 60, 1 << 61], _U))
@@ -109,7 +109,7 @@ def _cut(keys: np.ndarray, places: int) -> Iterator[tuple[int, int, int]]:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
     """(block, ids, texts) of batches (block, fold, text) whose rows of a block follow one another."""
     block, folds, texts = None, [], []
-    for batch in batches:
+    for batch in (w.slice(i, 500) for w in batches for i in range(0, w.num_rows, 500)):
         for b, f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != block:
                 if texts:
@@ -254,7 +254,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(fn, schema)
 
     cells = together(tune, "cell long, weight double, f2 double, f1 double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("weight", "f2", "f1")])
-    got = cells.toPandas().sort_values("cell")  # at most BUCKETS x 401 x 401 cells whatever the corpus, in fact some thousands
+    got = scratch.save(cells, "cells").toPandas().sort_values("cell")  # at most BUCKETS x 401 x 401 cells whatever the corpus, in fact some thousands
     w = got["weight"].to_numpy()
     lam = em(got["cell"].to_numpy() // 401**2, w, got["f2"].to_numpy() / w, got["f1"].to_numpy() / w, 1 / (sums["v_fit"] + 1))
     if not n:
