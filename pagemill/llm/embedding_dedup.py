@@ -4,7 +4,9 @@ Equal vectors are one class from the start. Every class keeps a list of its near
 leaves of a few random-hyperplane trees and are then refined: each class in turn introduces the classes around it to
 one another, and whoever finds someone nearer than its list's last keeps it. At the end edges of the wanted similarity
 are checked in double precision and kept. A list that is full of such edges is saturated and may hide more of them, so
-it is enlarged to its whole component, which is compared block by block. An audit compares a sample of queries with
+it is enlarged to its whole component, which is compared block by block. Links that leave the component are hidden only
+between two saturated classes, so saturated members of different components are compared as well, unless the balls that
+hold them are too far apart; a link found there makes one component of two. An audit compares a sample of queries with
 all vectors and asks for more rounds while recall is too low.
 """
 
@@ -27,8 +29,10 @@ TREES, LEAF, LARGEST_LEAF = 10, 40, 128
 CIRCLE, TOLD = 16, 5
 ROUNDS, MORE_ROUNDS = 3, 4
 AUDITED, RECALL = 256, 0.99
-#: Vectors in a block of a saturated component.
-SIDE = 256
+#: Vectors in a block of a saturated component, and balls in a block of the comparison of components.
+SIDE, BALLS = 256, 2048
+#: Added to angles, against rounding.
+SLACK = 1e-6
 ROUGH = 0.01
 
 
@@ -195,6 +199,99 @@ def _enlarged(full: DataFrame, least: float) -> DataFrame:
     return work.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi").mapInArrow(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
 
 
+def _balls(full: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(label, dim, v, r): for each component in ``full`` (label, cid, raw, dim) a unit vector, and the largest angle to it."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                found, at = np.unique(part.column(0).to_numpy(), return_inverse=True)
+                sums = np.zeros((len(found), int(dim)))
+                np.add.at(sums, at, _unit(part.column(1).to_pylist(), None))
+                yield pa.record_batch([pa.array(found), pa.array(np.full(len(found), dim, np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["label", "dim", "v"])
+
+    def centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, ["label"]):
+            x = np.frombuffer(b"".join(part["v"].to_pylist()), np.float64).reshape(len(part), -1).sum(0)
+            size = np.linalg.norm(x)
+            x = x / size if size > 0 else np.eye(1, len(x))[0]
+            yield pa.record_batch([part["label"][:1].combine_chunks(), part["dim"][:1].combine_chunks(), pa.array([x.tobytes()], pa.binary())], names=["label", "dim", "v"])
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(_angles(batch.column(1), batch.column(2)))], names=["label", "r"])
+
+    sums = full.select("label", "raw", "dim").mapInArrow(add, "label long, dim int, v binary")
+    centres = scratch.save(sums.repartition("label").sortWithinPartitions("label").mapInArrow(centre, "label long, dim int, v binary"), f"{name}_centres")
+    radii = full.join(centres.select("label", "v"), "label").select("label", "raw", "v").mapInArrow(widest, "label long, r double").groupBy("label").agg(F.max("r").alias("r"))
+    return scratch.save(centres.join(radii, "label"), name)
+
+
+def _angles(raw: pa.Array, v: pa.Array) -> np.ndarray:
+    """Angle between each vector and the unit vector beside it."""
+    x = [np.frombuffer(b, np.float64) for b in raw.to_pylist()]
+    y = [np.frombuffer(b, np.float64) for b in v.to_pylist()]
+    return np.arccos(np.clip([a @ b / np.abs(a).max() / np.linalg.norm(a / np.abs(a).max()) for a, b in zip(x, y, strict=True)], -1, 1)).astype(float)
+
+
+def _bridges(full: DataFrame, scratch: Scratch, name: str, least: float) -> DataFrame:
+    """Labels (a, b) of components in ``full`` (label, cid, raw, dim), which holds their saturated classes, that a link joins.
+
+    Every pair of components is decided: by their balls, then by single members and the other's ball, then by members.
+    """
+    reach = math.acos(least) + SLACK
+    balls = _balls(full, scratch, f"{name}_balls")
+    blocks = balls.groupBy("dim").count().select("dim", F.ceil(F.col("count") / BALLS).cast("int").alias("blocks"))
+    dealt = balls.join(blocks, "dim").withColumn("mine", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    work = dealt.select("dim", lo.alias("lo"), hi.alias("hi"), F.when(F.col("mine") == hi, 1).otherwise(0).alias("side"), "label", "v", "r")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in runs(batches, ["dim", "lo", "hi"]):
+            ids, r, side = piece["label"].to_numpy(), piece["r"].to_numpy(), piece["side"].to_numpy()
+            x = np.frombuffer(b"".join(piece["v"].to_pylist()), np.float64).reshape(len(ids), -1)
+            same = piece["lo"][0].as_py() == piece["hi"][0].as_py()
+            rows, cols = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            for at in range(0, len(rows), SIDE):
+                some = rows[at : at + SIDE]
+                i, j = np.nonzero(np.arccos(np.clip(x[some] @ x[cols].T, -1, 1)) <= reach + r[some][:, None] + r[cols][None, :])
+                a, b = ids[some[i]], ids[cols[j]]
+                keep = a < b if same else a != b
+                yield pa.record_batch([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
+
+    pairs = scratch.save(work.repartition("dim", "lo", "hi").sortWithinPartitions("dim", "lo", "hi").mapInArrow(near, "a long, b long"), f"{name}_pairs")
+    facing = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("label"), F.col("b").alias("facing"))
+    facing = facing.unionByName(pairs.select("a", "b", F.lit(1).alias("side"), F.col("b").alias("label"), F.col("a").alias("facing")))
+    asked = full.join(facing.join(balls.select(F.col("label").alias("facing"), "v", "r"), "facing"), "label")
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _angles(batch.column(3), batch.column(4)) <= reach + batch.column(5).to_numpy()
+            yield batch.select(["a", "b", "side", "raw"]).filter(pa.array(keep, pa.bool_()))
+
+    members = asked.select("a", "b", "side", "raw", "v", "r").mapInArrow(reaching, "a long, b long, side int, raw binary")
+    members = scratch.save(members, f"{name}_members")
+    count = lambda side: F.ceil(F.count(F.when(F.col("side") == side, 1)) / SIDE).cast("int")
+    sizes = members.groupBy("a", "b").agg(count(0).alias("rows"), count(1).alias("cols")).filter("rows > 0 and cols > 0")
+    dealt = members.join(sizes, ["a", "b"])
+    mine, first = F.xxhash64("raw"), F.col("side") == 0
+    dealt = dealt.withColumn("mine", F.pmod(mine, F.when(first, F.col("rows")).otherwise(F.col("cols"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(first, F.col("cols")).otherwise(F.col("rows")) - 1)))
+    work = dealt.select("a", "b", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("row"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("col"), "side", "raw")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in runs(batches, ["a", "b", "row", "col"]):
+            x, side = _unit(piece["raw"].to_pylist(), None), piece["side"].to_numpy()
+            if (x[side == 0] @ x[side == 1].T >= least).any():
+                yield pa.record_batch([piece["a"][:1].combine_chunks(), piece["b"][:1].combine_chunks()], names=["a", "b"])
+
+    keys = ["a", "b", "row", "col"]
+    return scratch.save(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, "a long, b long").distinct(), name)
+
+
 def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
     """Share of the sampled classes' true links that were found."""
     asked = classes.orderBy(F.xxhash64(F.lit(5), "cid"), "cid").limit(AUDITED).select("cid", "raw", "dim").collect()
@@ -239,7 +336,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         links = scratch.save(_checked(graph, classes, least), f"links{turn}")
         labels = components(links, scratch, f"labels{turn}")
         full = graph.filter(F.col("sim") >= least - ROUGH).groupBy("a").count().filter(F.col("count") >= K).select(F.col("a").alias("node"))
-        crowded = scratch.save(labels.join(full, "node").select("label").distinct(), f"crowded{turn}")
+        full = scratch.save(labels.join(full, "node").select("label", F.col("node").alias("cid")), f"full{turn}")
+        bridges = _bridges(full.join(classes, "cid").select("label", "cid", "raw", "dim"), scratch, f"bridges{turn}", least)
+        if bridges.limit(1).count():
+            merged = components(bridges, scratch, f"merged{turn}").select(F.col("node").alias("label"), F.col("label").alias("over"))
+            labels = scratch.save(labels.join(merged, "label", "left").select("node", F.coalesce("over", "label").alias("label")), f"joined{turn}")
+            full = full.select("cid").join(labels.withColumnRenamed("node", "cid"), "cid")
+        crowded = scratch.save(full.select("label").distinct(), f"crowded{turn}")
         members = labels.join(crowded, "label").select("label", F.col("node").alias("cid"))
         enlarged = scratch.save(_enlarged(members.join(classes, "cid").select("label", "cid", "raw", "dim", "m"), least), f"enlarged{turn}")
         weight = classes.select(F.col("cid").alias("y"), "m")

@@ -118,6 +118,23 @@ def test_op5_against_all_pairs(spark, sf):
     assert (got.component_id.to_numpy() == comp).mean() > 0.99 and (got.kept == (got.index == got.component_id)).all()
 
 
+def test_op5_tight_groups_beside_each_other(spark):
+    """Groups of more vectors than a list holds fill each list from within; the links across count all the same."""
+    from pagemill.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(5)
+    e, far = np.eye(64), math.acos(0.93)
+    middles = [e[0], math.cos(far) * e[0] + math.sin(far) * e[1], e[5]]
+    x = np.concatenate([m + rng.normal(0, 0.004, (15, 64)) for m in middles])
+    x = np.concatenate([x, rng.normal(0, 1, (40, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert link[:15, 15:30].all() and link[:30].sum() == 870
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").loc[range(len(x))]
+    assert got.n_links.tolist() == link.sum(1).tolist()
+    assert got.component_id.tolist() == [0] * 30 + [30] * 15 + list(range(45, 85)) and (got.kept == (got.index == got.component_id)).all()
+
+
 def test_op6_counts(spark, sf, docs, encoded):
     for r in Q.op6_token_counts(spark, sf).collect():
         assert r.n_tokens == len(encoded[r.doc_id]) and r.n_bytes == len((docs[r.doc_id].text or "").encode()) and r.over_limit == (r.n_tokens > 512)
