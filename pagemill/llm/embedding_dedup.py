@@ -7,7 +7,7 @@ are checked in double precision and kept. A list that is full of such edges is s
 it is enlarged to its whole component, which is compared block by block. Links that leave the component are hidden only
 between two saturated classes, so saturated members of different components are compared as well, unless the balls that
 hold them are too far apart; a link found there makes one component of two. An audit compares a sample of queries with
-all vectors and asks for more rounds while recall is too low.
+all vectors; while recall is too low, other trees are added and more classes are introduced to one another.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ K = 10
 TREES, LEAF, LARGEST_LEAF = 10, 40, 128
 #: Members that a class introduces to one another in a round, the newest first, and what it tells each of them.
 CIRCLE, TOLD = 16, 5
-ROUNDS, MORE_ROUNDS = 3, 4
-AUDITED, RECALL = 256, 0.99
+ROUNDS = 3
+#: Classes that the audit samples: at first, and at most while fewer than LINKED of them have links.
+AUDITED, MOST_AUDITED, LINKED, RECALL = 4096, 16384, 100, 0.99
 #: Vectors in a block of a saturated component, and balls in a block of the comparison of components.
 SIDE, BALLS = 256, 2048
 #: Added to angles, against rounding.
@@ -60,8 +61,8 @@ def _cleaned(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, raw binary, dim int")
 
 
-def _planted(classes: DataFrame, n: int) -> DataFrame:
-    """First edges (a, b, sim): the K nearest of each class within its leaf of each tree."""
+def _planted(classes: DataFrame, n: int, first: int = 0) -> DataFrame:
+    """Edges (a, b, sim): the K nearest of each class within its leaf of each of TREES trees, from number ``first`` on."""
     depth = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +73,7 @@ def _planted(classes: DataFrame, n: int) -> DataFrame:
                 unit = _unit(part.column(1).to_pylist(), dims)
                 small = unit.astype(np.float32)
                 blobs = pa.array([r.tobytes() for r in small], pa.binary())
-                for tree in range(TREES):
+                for tree in range(first, first + TREES):
                     planes = np.random.default_rng([tree, int(dim)]).standard_normal((int(dim), depth + 1))
                     side = unit @ planes
                     code = (side[:, :depth] > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(len(unit), np.int64)
@@ -102,13 +103,13 @@ def _best(edges: DataFrame) -> DataFrame:
     return once.withColumn("r", rank).filter(F.col("r") <= K).drop("r")
 
 
-def _introduced(graph: DataFrame, classes: DataFrame, turn: int, n: int) -> DataFrame:
+def _introduced(graph: DataFrame, classes: DataFrame, turn: int, n: int, circle: int, told: int) -> DataFrame:
     """Edges found by one round of the local join."""
     around = graph.select(F.col("a").alias("c"), F.col("b").alias("m"), "fresh").unionByName(graph.select(F.col("b").alias("c"), F.col("a").alias("m"), "fresh"))
     around = around.groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
     # a popular class is asked by many: it introduces a part of them, another one each round
     order = Window.partitionBy("c").orderBy(F.desc("fresh"), F.xxhash64(F.lit(turn), "m"))
-    around = around.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= CIRCLE).drop("r")
+    around = around.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= circle).drop("r")
     last = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("last"))
     who = classes.select(F.col("cid").alias("m"), "raw", "dim").join(last.withColumnRenamed("a", "m"), "m")
 
@@ -121,7 +122,7 @@ def _introduced(graph: DataFrame, classes: DataFrame, turn: int, n: int) -> Data
 
     who = who.select("m", "raw", "dim", "last").mapInArrow(shrink, "m long, v binary, dim int, last float")
     sent = around.join(who, "m").select("c", "m", "fresh", "last", "v")
-    parts = max(2, math.ceil(n * CIRCLE / 60_000))
+    parts = max(2, math.ceil(n * circle / 60_000))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
@@ -134,8 +135,8 @@ def _introduced(graph: DataFrame, classes: DataFrame, turn: int, n: int) -> Data
             fresh, last = group["fresh"].to_numpy(), group["last"].to_numpy()
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
-            if len(ids) > TOLD + 1:
-                floor = -np.partition(-sim, TOLD - 1, axis=1)[:, TOLD - 1]
+            if len(ids) > told + 1:
+                floor = -np.partition(-sim, told - 1, axis=1)[:, told - 1]
             else:
                 floor = np.full(len(ids), -2, np.float32)
             i, j = np.nonzero((sim > last[:, None]) & (sim >= floor[:, None]) & (fresh[:, None] | fresh[None, :]) & (sim > -2))
@@ -292,23 +293,44 @@ def _bridges(full: DataFrame, scratch: Scratch, name: str, least: float) -> Data
     return scratch.save(work.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(meet, "a long, b long").distinct(), name)
 
 
-def _audit(classes: DataFrame, counted: DataFrame, least: float) -> float:
-    """Share of the sampled classes' true links that were found."""
-    asked = classes.orderBy(F.xxhash64(F.lit(5), "cid"), "cid").limit(AUDITED).select("cid", "raw", "dim").collect()
-    by_dim = {d: ([r["cid"] for r in asked if r["dim"] == d], _unit([r["raw"] for r in asked if r["dim"] == d], None)) for d in {r["dim"] for r in asked}}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(2).to_numpy()
-            for dim, (ids, q) in by_dim.items():
-                part = batch.filter(pa.array(dims == dim))
-                if part.num_rows:
-                    hit = _unit(part.column(1).to_pylist(), None) @ q.T >= least
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(part.column(3).to_numpy() @ hit)], names=["cid", "true"])
-
-    true = classes.select("cid", "raw", "dim", "m").mapInArrow(run, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
-    got = true.join(counted, "cid").agg(F.sum("true").alias("true"), F.sum(F.col("n_links") + 1).alias("found")).first()
-    return got["found"] / got["true"] if got["true"] else 1.0
+def _truth(classes: DataFrame, n: int, scratch: Scratch, least: float) -> DataFrame:
+    """(cid, near, true) of sampled classes that have links: how many other classes link with each, and rows of these."""
+    size = AUDITED
+    while True:
+        asked = classes.orderBy(F.xxhash64(F.lit(5), "cid"), "cid").limit(size).select("cid", "raw", "dim").collect()
+        asked.sort(key=lambda r: r["cid"])
+        by_dim = {d: (np.array([r["cid"] for r in asked if r["dim"] == d]), _unit([r["raw"] for r in asked if r["dim"] == d], None)) for d in {r["dim"] for r in asked}}
+
+        def run(batches: Iterator[pa.RecordBatch], by_dim=by_dim) -> Iterator[pa.RecordBatch]:
+            sums = {dim: np.zeros((2, len(ids)), np.int64) for dim, (ids, _) in by_dim.items()}
+            for batch in batches:
+                dims = batch.column(2).to_numpy()
+                for dim, (ids, q) in by_dim.items():
+                    part = batch.filter(pa.array(dims == dim))
+                    for at in range(0, part.num_rows, 1024):
+                        some = part.slice(at, 1024)
+                        cid, m = some.column(0).to_numpy(), some.column(3).to_numpy()
+                        # what is so close to the limit that rounding decides is not asked for
+                        hit = _unit(some.column(1).to_pylist(), None) @ q.T >= least + 1e-9
+                        own = np.minimum(np.searchsorted(ids, cid), len(ids) - 1)
+                        hit[np.arange(len(cid)), own] &= ids[own] != cid
+                        sums[dim] += np.stack([hit.sum(0), m @ hit])
+            for dim, (ids, _) in by_dim.items():
+                yield pa.record_batch([pa.array(ids), pa.array(sums[dim][0]), pa.array(sums[dim][1])], names=["cid", "near", "true"])
+
+        found = classes.select("cid", "raw", "dim", "m").mapInArrow(run, "cid long, near long, true long").groupBy("cid").agg(F.sum("near").alias("near"), F.sum("true").alias("true"))
+        found = scratch.save(found.filter("near > 0"), f"truth{size}")
+        if size >= min(n, MOST_AUDITED) or found.count() >= LINKED:
+            return found
+        size *= 4
+
+
+def _audit(truth: DataFrame, counted: DataFrame) -> float:
+    """Mean share of a sampled class's links with other classes that ``counted`` (cid, m, n_links) has: the mean over
+    those with at most K such classes or that over those with more, whichever is lower, so that no crowd hides a pair."""
+    share = F.least(F.lit(1.0), (F.col("n_links") - F.col("m") + 1) / F.col("true"))
+    got = truth.join(counted, "cid").groupBy((F.col("near") > K).alias("many")).agg(F.avg(share).alias("share")).collect()
+    return min((r["share"] for r in got), default=1.0)
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
@@ -325,18 +347,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = scratch.save(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     graph = scratch.save(_best(_planted(classes, n).withColumn("fresh", F.lit(True))), "graph0")
-    turn, wanted = 0, ROUNDS
+    truth = _truth(classes, n, scratch, least)
+    turn, wanted, last = 0, ROUNDS, "graph0"
+    trees, circle, told = TREES, CIRCLE, TOLD
+    whole = False
     while True:
         while turn < wanted:
             turn += 1
             old = graph.withColumn("fresh", F.lit(False))
-            graph = scratch.save(_best(old.unionByName(_introduced(graph, classes, turn, n).withColumn("fresh", F.lit(True)))), f"graph{turn}")
-            scratch.drop(f"graph{turn - 1}")
+            graph = scratch.save(_best(old.unionByName(_introduced(graph, classes, turn, n, circle, told).withColumn("fresh", F.lit(True)))), f"graph{turn}")
+            scratch.drop(last)
+            last = f"graph{turn}"
             free_shuffles(spark)
         links = scratch.save(_checked(graph, classes, least), f"links{turn}")
         labels = components(links, scratch, f"labels{turn}")
-        full = graph.filter(F.col("sim") >= least - ROUGH).groupBy("a").count().filter(F.col("count") >= K).select(F.col("a").alias("node"))
-        full = scratch.save(labels.join(full, "node").select("label", F.col("node").alias("cid")), f"full{turn}")
+        full = classes.select(F.col("cid").alias("node")) if whole else graph.filter(F.col("sim") >= least - ROUGH).groupBy("a").count().filter(F.col("count") >= K).select(F.col("a").alias("node"))
+        # a full list may also hide a class's only link, where what it holds is just below the limit
+        full = scratch.save(full.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.col("node").alias("cid"), F.col("label").isNull().alias("alone")), f"full{turn}")
+        labels = scratch.save(labels.unionByName(full.filter("alone").select(F.col("cid").alias("node"), "label")), f"all{turn}")
         bridges = _bridges(full.join(classes, "cid").select("label", "cid", "raw", "dim"), scratch, f"bridges{turn}", least)
         if bridges.limit(1).count():
             merged = components(bridges, scratch, f"merged{turn}").select(F.col("node").alias("label"), F.col("label").alias("over"))
@@ -349,9 +377,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         both = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
         sparse = both.join(weight, "y").groupBy(F.col("x").alias("cid")).agg(F.sum("m").alias("s"))
         counted = classes.select("cid", "m", "rep").join(sparse, "cid", "left").join(enlarged, "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-        counted = scratch.save(counted.select("cid", "rep", (F.coalesce("n", "s", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("label", "cid").alias("label")), f"counted{turn}")
-        if _audit(classes, counted.select("cid", "n_links"), least) >= RECALL or turn >= ROUNDS + MORE_ROUNDS:
+        counted = scratch.save(counted.select("cid", "m", "rep", (F.coalesce("n", "s", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("label", "cid").alias("label")), f"counted{turn}")
+        if whole or _audit(truth, counted) >= RECALL:
             break
+        whole = 2 * trees * LARGEST_LEAF >= n  # then comparing all costs no more than further leaves
+        for first in range(trees, 2 * trees, TREES) if not whole else ():
+            old = graph.withColumn("fresh", F.lit(False))
+            graph = scratch.save(_best(old.unionByName(_planted(classes, n, first).withColumn("fresh", F.lit(True)))), f"graph{turn}_{first}")
+            scratch.drop(last)
+            last = f"graph{turn}_{first}"
+            free_shuffles(spark)
+        trees, circle, told = 2 * trees, circle + CIRCLE, told + TOLD
         wanted = turn + 1
     names = scratch.save(counted.groupBy("label").agg(F.min("rep").alias("component_id")), "names")
     per_class = counted.join(names, "label").join(classes.select("cid", "raw"), "cid").select("raw", "n_links", "component_id")

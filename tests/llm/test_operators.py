@@ -135,6 +135,26 @@ def test_op5_tight_groups_beside_each_other(spark):
     assert got.component_id.tolist() == [0] * 30 + [30] * 15 + list(range(45, 85)) and (got.kept == (got.index == got.component_id)).all()
 
 
+def test_op5_lone_pairs_are_not_lost_beside_a_crowd(spark, monkeypatch):
+    """With too few trees and rounds the audit has to notice that pairs are missing, and to find them."""
+    from pagemill.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "TREES", 1)
+    monkeypatch.setattr(embedding_dedup, "ROUNDS", 0)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (2500, 64))
+    x[:300] = x[0] + rng.normal(0, 0.1, (300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(0, 1, (100, 64))
+    side -= (side * x[300:400]).sum(1)[:, None] * x[300:400]
+    x[400:500] = 0.91 * x[300:400] + math.sqrt(1 - 0.91**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    link = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert link[300:500].sum() == 200
+    got = embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").loc[range(len(x))]
+    assert (got.n_links.to_numpy() <= link.sum(1)).all()
+    assert got.n_links[300:500].sum() >= 0.97 * 200 and got.n_links[:300].sum() >= 0.99 * link[:300].sum()
+
+
 def test_op6_counts(spark, sf, docs, encoded):
     for r in Q.op6_token_counts(spark, sf).collect():
         assert r.n_tokens == len(encoded[r.doc_id]) and r.n_bytes == len((docs[r.doc_id].text or "").encode()) and r.over_limit == (r.n_tokens > 512)
