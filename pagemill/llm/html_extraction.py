@@ -41,7 +41,8 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 LOW_DENSITY, HIGH_DENSITY, LINKED = 0.12, 0.25, 0.4
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
-_ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# the end of a tag, or an attribute's name and its value in double quotes, single quotes or none
+_ATTR = re.compile(r"""[ \t\n\f\r/]*+(?:(>)|([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\f\r"'>][^ \t\n\f\r>]*+)?))?)""")
 _NAME_PARTS = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,24 +56,27 @@ class Block:
     label: bool | None = None
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Index of the > that ends a tag; one inside a quoted value does not."""
-    end = page.find(">", at)
-    for quote in "\"'":
-        if end >= 0 and page.count(quote, at, end) % 2:
-            closed = page.find(quote, end, end + 4096)
-            if closed >= 0:
-                end = page.find(">", closed)
-    return end
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of the tag whose name ends at ``at``, and the index of the > that ends it (-1: none does).
+
+    Quotes open only after =, and a > within them is part of the value; a quote that is never closed is none.
+    """
+    found: dict[str, str] = {}
+    while m := _ATTR.match(page, at):
+        if m[1]:
+            return found, m.end() - 1
+        found.setdefault(m[2].lower(), m[3] or m[4] or m[5] or "")
+        at = m.end()
+    return found, -1
 
 
-def _unwanted(name: str, attributes: str) -> bool:
+def _unwanted(name: str, attributes: dict[str, str]) -> bool:
     if name in SKIPPED:
         return True
     if name in ZONES or name in ("html", "body") or not attributes:
         return False
-    for m in _ATTR.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+    for key, value in attributes.items():
+        value = value.lower()
         if key in ("class", "id") and any(p in HINTS for p in _NAME_PARTS.findall(value)):
             return True
         if key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
@@ -120,7 +124,7 @@ def blocks(page: str) -> list[Block]:
             end = page.find("-->", m.end())
             at = len(page) if end < 0 else end + 3
             continue
-        end = _tag_end(page, m.end())
+        attributes, end = ({}, page.find(">", m.end())) if m[2] else _attributes(page, m.end())
         if end < 0:
             at = len(page)
             break
@@ -148,7 +152,7 @@ def blocks(page: str) -> list[Block]:
         if name in ("p", "li") and stack and stack[-1] == name and skipped_at < 0:
             leave(stack.pop())
         in_article_header = name == "header" and zones > 0
-        if skipped_at < 0 and (_unwanted(name, page[m.end() : end]) or name == "header" and not in_article_header):
+        if skipped_at < 0 and (_unwanted(name, attributes) or name == "header" and not in_article_header):
             skipped_at = len(stack)
         stack.append(name)
         if skipped_at < 0:

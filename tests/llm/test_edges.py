@@ -148,6 +148,22 @@ def test_pages(page):
     assert html_extraction.main_text(page) == PAGES[page]
 
 
+FIRST = "The first paragraph, and it's long: the of and to in a is that for it was with be by on not he his but."
+TAGS = {
+    f'<img alt="Queen\'s speech"><p>{FIRST}</p>': FIRST,
+    f"<p data-json='{{\"a\": \"{'x > y ' * 2000}\"}}'>{FIRST}</p>": FIRST,
+    f'<p title="a > b" data-x=\'c > "d\' lang=en>{FIRST}</p>': FIRST,
+    f"<p title=it's>{FIRST}</p>": FIRST,
+    f'<p title="never closed>{FIRST}</p>': FIRST,
+    f"<p/ a = 'b>' c><br/>{FIRST}</p >": FIRST,
+}
+
+
+@pytest.mark.parametrize("page", TAGS, ids=range(len(TAGS)))
+def test_quotes_in_tags(page):
+    assert html_extraction.main_text(page) == TAGS[page]
+
+
 def test_page_rows(spark):
     d = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>"), (2, "v", "<p>" + LONG + "</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.text, r.n_chars) for r in html_extraction.extract(d).collect()}
