@@ -2,8 +2,9 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by link density, stop-word density and
 length; short or middling blocks stay open. In the second pass each open block takes the label of its nearest decided
-neighbour. What markup itself declares to be no article (menus, forms, scripts, boxes named as adverts and so on) is
-no block at all.
+neighbour. What markup itself declares to be no article (menus, forms, scripts, hidden elements and so on) is no block
+at all. Boxes named as adverts and the like are left out as well, unless a long, dense block with few links in them
+tells otherwise; then their blocks are judged as any others.
 """
 
 from __future__ import annotations
@@ -39,11 +40,11 @@ STOP_WORDS = frozenset(
 )
 
 SHORT, LONG = 70, 200
-LOW_DENSITY, HIGH_DENSITY, LINKED = 0.12, 0.25, 0.4
+LOW_DENSITY, HIGH_DENSITY, LINKED, FEW_LINKED = 0.12, 0.25, 0.4, 0.1
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 # the end of a tag, or an attribute's name and its value in double quotes, single quotes or none
 _ATTR = re.compile(r"""[ \t\n\f\r/]*+(?:(>)|([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\f\r"'>][^ \t\n\f\r>]*+)?))?)""")
-_NAME_PARTS = re.compile(r"[a-z]+")
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -53,6 +54,7 @@ class Block:
     linked: int
     heading: bool
     zone: bool
+    box: int = 0  # the innermost element around it whose names tell against it; 0: none
     label: bool | None = None
 
 
@@ -77,8 +79,6 @@ def _unwanted(name: str, attributes: dict[str, str]) -> bool:
         return False
     for key, value in attributes.items():
         value = value.lower()
-        if key in ("class", "id") and any(p in HINTS for p in _NAME_PARTS.findall(value)):
-            return True
         if key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -86,34 +86,58 @@ def _unwanted(name: str, attributes: dict[str, str]) -> bool:
     return False
 
 
+def _hinted(name: str, attributes: dict[str, str]) -> bool:
+    """Whether a class or the id of an element consists of words that name no article, as ad or cookie-banner do."""
+    if name in ZONES or name in ("html", "body"):
+        return False
+    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    return any((parts := _NAME_PARTS.findall(t)) and all(p.lower() in HINTS or p.isdigit() for p in parts) and not t.isdigit() for t in tokens)
+
+
+def _density(text: str) -> float:
+    """Share of stop words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without what its markup sets aside."""
     out: list[Block] = []
     stack: list[str] = []
     skipped_at = -1  # depth of the element that is being skipped
     zones = links = headings = 0
-    held: list[str] = []
-    linked = 0
+    held: list[tuple[str, int, int]] = []  # text, how much of it is linked, its box
+    boxes: list[tuple[int, int]] = []  # depth and number of the open elements whose names tell against them
+    n_boxes = 0
     at = 0
 
     def text(raw: str) -> None:
-        nonlocal linked
         if raw and skipped_at < 0:
-            held.append(raw)
-            if links:
-                linked += len(raw.strip())
+            held.append((raw, len(raw.strip()) if links else 0, boxes[-1][1] if boxes else 0))
 
     def flush() -> None:
-        nonlocal linked, held
+        nonlocal held
+        box = min((b for raw, _, b in held if raw.strip()), default=0)
+        inner: dict[int, list[tuple[str, int, int]]] = {}  # parts of a line that are boxes of their own
+        for h in held:
+            if h[2] > box:
+                inner.setdefault(h[2], []).append(h)
+        for of, parts in inner.items():
+            part = " ".join(html_lib.unescape("".join(h[0] for h in parts)).split())
+            if len(part) > LONG and sum(h[1] for h in parts) <= FEW_LINKED * len(part) and (zones or _density(part) >= LOW_DENSITY):
+                inner[of] = []
+        held = [h for h in held if not inner.get(h[2])]
         if held:
             # references are decoded once a block is whole, so that none is cut
-            line = " ".join(html_lib.unescape("".join(held)).split())
+            line = " ".join(html_lib.unescape("".join(h[0] for h in held)).split())
             if line:
-                out.append(Block(line, linked, headings > 0, zones > 0))
-        held, linked = [], 0
+                out.append(Block(line, sum(h[1] for h in held), headings > 0, zones > 0, box))
+        held = []
 
     def leave(name: str) -> None:
         nonlocal zones, links, headings
+        while boxes and boxes[-1][0] >= len(stack):
+            boxes.pop()
         zones -= name in ZONES
         links -= name == "a"
         headings -= len(name) == 2 and name[0] == "h" and name[1] in "123456"
@@ -154,6 +178,9 @@ def blocks(page: str) -> list[Block]:
         in_article_header = name == "header" and zones > 0
         if skipped_at < 0 and (_unwanted(name, attributes) or name == "header" and not in_article_header):
             skipped_at = len(stack)
+        if skipped_at < 0 and _hinted(name, attributes):
+            n_boxes += 1
+            boxes.append((len(stack), n_boxes))
         stack.append(name)
         if skipped_at < 0:
             zones += name in ZONES
@@ -170,11 +197,13 @@ def blocks(page: str) -> list[Block]:
 def classify(found: list[Block]) -> None:
     """Labels each block: True is main text."""
     zoned = any(b.zone for b in found)
-    for b in found:  # first pass
+    densities = [_density(b.text) for b in found]
+    listed = any(d >= LOW_DENSITY for d in densities)  # whether the lists have the page's language
+    # boxes whose names are outweighed by a block in them
+    fine = {0} | {b.box for b, d in zip(found, densities, strict=True) if len(b.text) > LONG and b.linked <= FEW_LINKED * len(b.text) and (d >= LOW_DENSITY or b.zone or not listed)}
+    for b, density in zip(found, densities, strict=True):  # first pass
         n = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if zoned and not b.zone or b.linked > LINKED * n:
+        if zoned and not b.zone or b.linked > LINKED * n or b.box not in fine:
             b.label = False
         elif n < SHORT or b.heading:
             b.label = None

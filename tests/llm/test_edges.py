@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +166,30 @@ def test_quotes_in_tags(page):
     assert html_extraction.main_text(page) == TAGS[page]
 
 
+LINE = "It was for the reader of this that the words were put in, and they are not to be lost by it at all."
+KEPT = [
+    f'<p>The of <a href="/hidden-gems?id=ads">these gems</a> {LINE}</p>',
+    f'<p title="a hidden truth" data-hidden="false" data-class="ad">{LINE}</p>',
+    *(f'<div class="{c}"><p>{LINE}</p></div>' for c in ("content has-sidebar", "no-sidebar", "overflow-hidden", "post-header", "legal-news")),
+    f'<div class="widget"><h2>The title</h2><p>{LINE} {LINE} {LINE}</p><p>{LINE}</p></div>',
+    f'<div class="widget"><p>{"長い文章です。" * 60}</p><p>短い文。</p></div>',
+]
+
+
+@pytest.mark.parametrize("page", KEPT, ids=range(len(KEPT)))
+def test_names_do_not_drop_an_article(page):
+    lines = re.split(r"</(?:p|h2)>", page)
+    assert html_extraction.main_text(page) == "\n".join(x for x in (re.sub("<[^>]*>", "", line) for line in lines) if x)
+
+
+def test_named_boxes_stay_out():
+    around = "<p>" + LINE + "</p>"
+    for box in ('<div class="cookie-banner">We use it.</div>', '<div id="navMenu2"><p>To the shop</p></div>', "<p hidden>" + LINE + "</p>", '<div class="x related">' + "<p>And more of the same.</p>" * 9 + "</div>", '<div role="dialog">' + around + "</div>"):
+        assert html_extraction.main_text(around + box + around) == LINE + "\n" + LINE
+        assert html_extraction.main_text("<article>" + around + box + "</article>") == LINE
+    assert html_extraction.main_text(f'<p>{LINE} <span class="share">Share <b>it</b></span>and so on</p><p>{LINE}</p>') == f"{LINE} and so on\n{LINE}"
+
+
 def test_page_rows(spark):
     d = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>"), (2, "v", "<p>" + LONG + "</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.text, r.n_chars) for r in html_extraction.extract(d).collect()}
