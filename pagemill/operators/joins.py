@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 IMPORTED = ("imported", "imported_checked")
 
 
@@ -262,16 +264,38 @@ def in_column(x0: Column, x1: Column, left: Column, right: Column, slack: int =
 
 
 def header_cut(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """P20: the bottom of a page's header: its rule in the top 14 %, else the lowest text in the top 9 %, else 0."""
+    """P20: the bottom of a page's header: its rule in the top 14 %, else the lowest text in the top 9 % that does not
+    begin as a problem does, else 0; above a line that begins with the word for exercise and a number, in any case."""
     rule = rules.filter("y <= 0.14 * H").groupBy("page").agg(F.max("y").alias("rule"))
-    text = lines.filter("y1 <= 0.09 * H").groupBy("page").agg(F.max("y1").alias("text"))
-    return lines.select("page").distinct().join(rule, "page", "left").join(text, "page", "left").select("page", F.coalesce("rule", "text", F.lit(0.0)).alias("header_cut"))
-
-
-def footer_cut(lines: DataFrame, number: str = r"^[\s·\-—]*\d{1,4}[\s·\-—]*$") -> DataFrame:
-    """The top of a page's footer: a page number in the bottom 6 %, else one standing alone in the bottom 15 %, else the page's end."""
-    at = F.when(F.col("text").rlike(number) & ((F.col("y0") >= 0.94 * F.col("H")) | (F.col("y0") >= 0.85 * F.col("H"))), F.col("y0"))
-    return lines.groupBy("page").agg(F.coalesce(F.min(at), F.max("H").cast("double")).alias("footer_cut"))
+    text = lines.filter((F.col("y1") <= 0.09 * F.col("H")) & ~_anchored(F.col("text"))).groupBy("page").agg(F.max("y1").alias("text"))
+    cuts = lines.select("page").distinct().join(rule, "page", "left").join(text, "page", "left").select("page", F.coalesce("rule", "text", F.lit(0.0)).alias("header_cut"))
+    first = lines.join(cuts, "page").filter((F.col("y0") < F.col("header_cut")) & F.col("text").rlike(T.PREFIX)).groupBy("page").agg(F.greatest(F.lit(0.0), F.min("y0") - 4).alias("first"))
+    return cuts.join(first, "page", "left").select("page", F.coalesce("first", "header_cut").alias("header_cut"))
+
+
+def _anchored(text: Column) -> Column:
+    return F.coalesce(F.size(T.anchor_candidates(F.trim(text))) > 0, F.lit(False))
+
+
+def footer_cut(
+    lines: DataFrame,
+    number: str = r"^[\s·\-—–]*(\d{1,4}|[ivxlcIVXLC]{1,6})[\s·\-—–]*$",
+    rules: DataFrame | None = None,
+    slashed: str = r"^[\s/|\\Il1·\-—–]*\d{1,4}[\s/|\\Il1·\-—–]*$",
+) -> DataFrame:
+    """The top of a page's footer: a page number in the bottom 6 %, or a narrow one between slashes in the bottom
+    15 %, else the page's end; or above that a footnote rule (page, y, x0, x1 in ``rules``) in the lowest 28 %, which is
+    in the left half, 12 % of the page long, and has no problem below it. The white around a rule is up to its finder."""
+    text, low = F.col("text"), F.col("y0") / F.col("H")
+    narrow = (F.col("x1") - F.col("x0") < 0.25 * F.col("W")) & text.contains("/") & text.rlike(slashed)
+    at = F.when(text.rlike(number) & (low > 0.94) | narrow & (low > 0.85), F.col("y0"))
+    cuts = lines.groupBy("page").agg(F.coalesce(F.min(at), F.max("H").cast("double")).alias("footer_cut"), F.max("H").alias("_h"), F.max("W").alias("_w"), F.max(F.when(_anchored(text), F.col("y0"))).alias("_anchor"))
+    if rules is None:
+        return cuts.select("page", "footer_cut")
+    length = F.least("x1", 0.5 * F.col("_w")) - F.greatest("x0", 0.04 * F.col("_w"))
+    fits = (F.col("y") >= 0.72 * F.col("_h")) & (F.col("y") < F.col("footer_cut")) & (length >= 0.12 * F.col("_w")) & (F.col("x1") <= 0.55 * F.col("_w"))
+    notes = rules.select("page", "y", "x0", "x1").join(cuts, "page").filter(fits & (F.col("_anchor").isNull() | (F.col("_anchor") <= F.col("y")))).groupBy("page").agg((F.min("y") - 4).alias("_note"))
+    return cuts.join(notes, "page", "left").select("page", F.least("footer_cut", "_note").alias("footer_cut"))
 
 
 def terminators(lines: DataFrame, kind: str = "kind") -> DataFrame:

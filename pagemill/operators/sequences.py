@@ -101,16 +101,19 @@ def next_greater(rows: DataFrame, key: list[str], order: str, value: str) -> Dat
     return folded.select(*key, F.col("r.o").alias(order), F.col("r.v").alias(value), F.col("r.next").alias("next_value"))
 
 
-def segment_bounds(anchors: DataFrame, key: str, page: str, y: str, height: int, overflow: float = 0.08) -> DataFrame:
+def segment_bounds(anchors: DataFrame, key: str, page: str, y: str, height: int, overflow: float = 0.08, bottom: str | None = None) -> DataFrame:
     """Where each item ends: at the next anchor of its key on the same page, else at the page's end; further pages up
-    to the next anchor are stitched when the item reaches the lowest ``overflow`` of its page."""
+    to the next anchor are stitched when the item reaches the lowest ``overflow`` of its page. ``bottom`` is where the
+    content below an anchor ends on its page; without it all content is taken to reach the page's end."""
     w = Window.partitionBy(key).orderBy(page, y)
     nxt_p, nxt_y = F.lead(page).over(w), F.lead(y).over(w)
     out = anchors.withColumn("next_page", nxt_p).withColumn("next_y", nxt_y)
     same = F.col("next_page") == F.col(page)
-    end = F.when(same, F.col("next_y")).otherwise(F.lit(height))
-    flag = F.when(same, "whole").when(F.col("next_page").isNull(), "last").when(F.col("next_page") == F.col(page) + 1, "stitched").otherwise("stitch_mid_page")
-    return out.withColumn("end_y", end).withColumn("flag", flag).withColumn("mid_pages", F.greatest(F.lit(0), F.coalesce(F.col("next_page") - F.col(page) - 1, F.lit(0))))
+    content = F.coalesce(F.col(bottom), F.lit(height)) if bottom else F.lit(height)
+    short = F.col("next_page").isNotNull() & (content < (1 - overflow) * height)
+    end = F.when(same, F.col("next_y")).otherwise(content)
+    flag = F.when(same | short, "whole").when(F.col("next_page").isNull(), "last").when(F.col("next_page") == F.col(page) + 1, "stitched").otherwise("stitch_mid_page")
+    return out.withColumn("end_y", end).withColumn("flag", flag).withColumn("mid_pages", F.when(short, 0).otherwise(F.greatest(F.lit(0), F.coalesce(F.col("next_page") - F.col(page) - 1, F.lit(0)))))
 
 
 def stitched_pages(segments: DataFrame, page: str) -> DataFrame:

@@ -81,3 +81,9 @@ def test_log_readers(spark, tmp_path):
     p = tmp_path / "u.jsonl"
     p.write_text('{"in": 1, "out": 2, "think": 3, "total": 0, "stage": "draft"}\nnot json\n{"in": 1, "total": 9}\n')
     assert sorted(r.total for r in R.usage_log(spark, str(p)).collect()) == [6, 9]
+
+
+def test_segments_that_do_not_reach_the_bottom(spark):
+    d = spark.createDataFrame([(1, 1, 10, 500), (1, 4, 20, 950), (1, 6, 30, 990), (1, 6, 70, 80)], "ch int, page int, y int, ink int")
+    got = W.segment_bounds(d, "ch", "page", "y", 1000, bottom="ink").orderBy("page", "y").collect()
+    assert [(r.end_y, r.flag, r.mid_pages) for r in got] == [(500, "whole", 0), (950, "stitch_mid_page", 1), (70, "whole", 0), (80, "last", 0)]

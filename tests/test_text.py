@@ -202,3 +202,18 @@ def test_page_mapping(spark):
     ranges = spark.createDataFrame([(1, 50, 60)], "seq int, start int, end int").withColumn("end", F.lit(None).cast("int"))
     got = sorted(r.page for r in G.page_mapping(samples, ranges, 200).collect())
     assert got == [*range(51, 64)]
+
+
+def test_header_and_footer_bands(spark):
+    rows = [
+        (1, "2.19 a problem", 20, 40, 50, 700), (1, "text", 500, 520, 50, 700), (1, "42", 880, 890, 300, 320), (1, "- 17 -", 960, 970, 300, 350),
+        (2, "A header", 20, 40, 50, 700), (2, "/ 120 /", 900, 910, 300, 360), (2, "text", 940, 950, 50, 700),
+        (3, "习题6-21 x", 60, 80, 50, 700), (3, "1/2/3", 870, 880, 50, 700), (3, "xiv", 950, 960, 300, 320),
+        (4, "text", 500, 520, 50, 700), (4, "a note", 850, 860, 50, 700),
+        (5, "text", 500, 520, 50, 700), (5, "3.1 a problem", 850, 860, 50, 700),
+    ]
+    lines = spark.createDataFrame(rows, "page int, text string, y0 int, y1 int, x0 int, x1 int").withColumn("H", F.lit(1000.0)).withColumn("W", F.lit(800.0))
+    rules = spark.createDataFrame([(3, 130.0, 50.0, 700.0), (4, 800.0, 50.0, 250.0), (4, 760.0, 50.0, 700.0), (4, 400.0, 50.0, 250.0), (5, 800.0, 50.0, 250.0)], "page int, y double, x0 double, x1 double").withColumn("H", F.lit(1000.0))
+    assert {r.page: r.header_cut for r in J.header_cut(lines, rules).collect()} == {1: 0, 2: 40, 3: 56, 4: 0, 5: 0}
+    assert {r.page: r.footer_cut for r in J.footer_cut(lines).collect()} == {1: 960, 2: 900, 3: 950, 4: 1000, 5: 1000}
+    assert {r.page: r.footer_cut for r in J.footer_cut(lines, rules=rules).collect()} == {1: 960, 2: 900, 3: 950, 4: 796, 5: 1000}
