@@ -271,9 +271,11 @@ def _own_text(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             elements, sizes = shingle_sets(batch.column(4).to_pylist())
-            starts = np.minimum(np.cumsum(sizes) - sizes, max(0, len(elements) - 1))
-            f1 = np.add.reduceat(wordhash.mix(elements), starts).view(np.int64) if len(elements) else np.zeros(len(sizes), np.int64)
-            same = (sizes > 0) & (sizes == batch.column(1).to_numpy()) & (f1 == batch.column(2).to_numpy())
+            filled = sizes > 0
+            f1 = np.zeros(len(sizes), np.int64)
+            if filled.any():
+                f1[filled] = np.add.reduceat(wordhash.mix(elements), (np.cumsum(sizes) - sizes)[filled]).view(np.int64)
+            same = filled & (sizes == batch.column(1).to_numpy()) & (f1 == batch.column(2).to_numpy())
             yield pa.record_batch([batch.column(0), batch.column(4)], names=["cid", "t"]).filter(pa.array(same))
 
     return found.mapInArrow(run, "cid long, t string").dropDuplicates(["cid"])

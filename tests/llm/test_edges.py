@@ -230,3 +230,17 @@ def test_words_and_shingles():
     assert wordhash.words([long])[1].tolist() == [600_000]
     _, sizes = shingles.shingle_sets(["a b c d e f", "a b", "", "a a a a a a a"])
     assert sizes.tolist() == [2, 1, 0, 1]
+
+
+def test_own_text_beside_blank_rows(spark):
+    """Rows that share an id, of which the last in a batch are blank."""
+    from pagemill.llm import wordhash
+    from pagemill.llm.shingles import shingle_sets
+
+    text = "one two three four five six seven"
+    elements, sizes = shingle_sets([text])
+    f1 = int(wordhash.mix(elements).sum().view(np.int64))
+    rows = [(1, int(sizes[0]), f1, 0, t) for t in (" ", text, "", None)]
+    found = spark.createDataFrame(rows, "cid long, n long, f1 long, f2 long, t string").coalesce(1)
+    assert [tuple(r) for r in near_dedup._own_text(found).collect()] == [(1, text)]
+    assert near_dedup._own_text(found.filter("trim(t) = '' or t is null")).count() == 0
