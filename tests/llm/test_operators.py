@@ -198,6 +198,53 @@ def test_op8_probabilities_sum_to_one(spark):
     assert got[held[0]] < 0
 
 
+def interpolated(texts, probes):
+    """Log10 probabilities of ``probes`` by a plain interpolated bigram model of ``texts`` (id: text), and its parts."""
+    from pagemill.llm import lm_scoring
+
+    fold = {d: zlib.crc32(str(d).encode()) % 7 for d in texts}
+    words = {d: ["<start>", *WORD.findall(lower(t)), None] for d, t in texts.items()}
+
+    def counts(ids):
+        pair = collections.Counter((a, b) for d in ids for a, b in zip(words[d], words[d][1:]))
+        word = collections.Counter(w for d in ids for w in words[d][1:])
+        context = word + collections.Counter({"<start>": len(ids)})
+        return pair, word, context
+
+    train = [d for d in texts if fold[d] != 2]
+    pair, word, context = counts([d for d in train if fold[d] != 3])
+    asked, _, _ = counts([d for d in train if fold[d] == 3])
+    n, keys = max(1, sum(word.values())), sorted(asked, key=str)
+    c = np.array([context[a] for a, _ in keys])
+    f2 = np.array([pair[k] / context[k[0]] if context[k[0]] else 0.0 for k in keys])
+    cell = lambda x: 0 if x <= 0 else min(400, max(1, 400 + round(5 * math.log2(x))))
+    f1 = np.array([word[b] / n for _, b in keys])
+    groups = collections.defaultdict(lambda: np.zeros(3))
+    for b, x2, x1, k in zip(np.minimum(31, np.ceil(np.log2(c + 1))).astype(int), f2, f1, keys):
+        groups[b, cell(x2), cell(x1)] += asked[k] * np.array([1, x2, x1])
+    order = sorted(groups)
+    w, s2, s1 = np.array([groups[g] for g in order]).T
+    lam = lm_scoring.em(np.array([g[0] for g in order]), w, s2 / w, s1 / w, 1 / (len(word) + 1))
+    pair, word, context = counts(train)
+    n, v = sum(word.values()), len(word)
+
+    def p(a, b):
+        m = lam[min(31, math.ceil(math.log2(context[a] + 1)))]
+        return m[0] * (pair[a, b] / context[a] if context[a] else 0) + m[1] * word[b] / n + m[2] / (v + 1)
+
+    scores = {d: sum(math.log10(p(a, b)) for a, b in zip(words[d], words[d][1:])) for d in probes}
+    return scores, p, word, context
+
+
+def test_op8_score_is_the_interpolated_model(spark, sf, docs):
+    texts = {d: r.text for d, r in docs.items()}
+    want, p, word, context = interpolated(texts, texts)
+    got = {r.doc_id: r.score for r in Q.op8_lm_scoring(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-6) for d in want)
+    for a in ["<start>", *sorted((w for w in word if w), key=lambda w: (-word[w], w))[:20]]:
+        assert math.isclose(sum(p(a, b) for b in word) + p(a, "never seen"), 1, rel_tol=1e-9)
+
+
 def test_op9_held_out_accuracy(spark, sf):
     sf = sf.replace("0.001", "0.01")
     got = Q.op9_quality_classifier(spark, sf).toPandas()
