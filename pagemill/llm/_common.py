@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import ctypes
 import os
+import re
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,10 +21,15 @@ _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir, which all executors share.
+
+    Where it is unset, one of our own if everything runs in this process (local tests), and an error on a cluster.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="pagemill-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -70,11 +75,21 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more, now rather than at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
+def tidied(run):
+    """``run``, a function over Arrow batches, giving memory that it no longer needs back to the system when it ends.
+
+    Workers are kept for later tasks, and their allocators hold on to what these may never need.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass
+
+    return wrapped
 
 
 def small(spark: SparkSession, n_bytes: int, limit: int = 64 << 20) -> bool:
