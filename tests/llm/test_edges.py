@@ -78,24 +78,58 @@ def test_pack_edges(spark):
     assert no_stop.length.sum() == no_stop.doc_tokens.iloc[0]
 
 
+def stream(lengths, stops, window):
+    ends = np.cumsum(lengths)
+    return packing.boundaries(int(ends[-1]), ends, np.concatenate([s + e - n for s, e, n in zip(stops, ends, lengths, strict=True)]), window)
+
+
 def test_pack_prefers_document_ends():
-    at, cost = packing.boundaries([1000, 1040, 2048, 8], [np.array([500]), np.array([900]), np.array([]), np.array([])], 2048)
+    at, cost = stream([1000, 1040, 2048, 8], [np.array([500]), np.array([900]), np.array([], int), np.array([], int)], 2048)
     assert packing.windows(at, cost) == [2040, 4088, 4096]
 
 
 def test_pack_is_optimal():
+    """Against the cost that the docstring states, over all pairs of boundaries."""
     rng = np.random.default_rng(0)
-    for _ in range(30):
-        window = 16
-        lengths = rng.integers(1, 12, 6).tolist()
-        at, cost = packing.boundaries(lengths, [np.unique(rng.integers(1, n + 1, 2)) for n in lengths], window)
+    short = 0
+    for turn in range(60):
+        window = 64
+        lengths = rng.integers(1, (40, 200)[turn % 2], 8).tolist()
+        at, cost = stream(lengths, [np.unique(rng.integers(1, n + 1, 3)) for n in lengths], window)
         p = at.tolist()
+
+        def price(size):
+            return min(window - size, packing.SHORT if size & (size - 1) == 0 else window)
+
         best = [0.0] + [float("inf")] * (len(p) - 1)
         for j in range(1, len(p)):
-            best[j] = min(best[i] + window - (p[j] - p[i]) for i in range(j) if p[j] - p[i] <= window) + cost[j]
+            best[j] = min(best[i] + price(p[j] - p[i]) for i in range(j) if p[j] - p[i] <= window) + cost[j]
         cuts = packing.best_cuts(at, cost, window)
-        paid = sum(window - (p[j] - p[i]) + cost[j] for i, j in zip([0, *cuts], cuts, strict=False))
-        assert paid == best[-1]
+        sizes = [p[j] - p[i] for i, j in zip([0, *cuts], cuts, strict=False)]
+        short += sum(packing.SHORT < window - x and x & (x - 1) == 0 for x in sizes)
+        assert sum(map(price, sizes)) + sum(cost[j] for j in cuts) == best[-1]
+    assert short  # powers of two below half a window are used
+
+
+def test_pack_in_segments(spark, monkeypatch):
+    """Documents longer than a segment and a slice, and segments that end inside them, give whole documents all the same."""
+    import zlib
+
+    from pagemill.llm import bpe
+
+    monkeypatch.setattr(packing, "SEGMENT", 3000)
+    monkeypatch.setattr(bpe, "SLICE", 5000)
+    texts = ["a few words. " * 30, "", "no stop at all " * 4000, "one two three. " * 3000, "x", "é — ü. " * 2000] * 2
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), window=256, with_ids=True).toPandas()
+    sizes = got.groupby("sequence_id").length.sum()
+    assert sizes.max() <= 256 and sorted(sizes.index) == list(range(len(sizes)))
+    want = [[*bpe.encoder().exact.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    for d, g in got.sort_values("start").groupby("doc_id"):
+        ids = np.concatenate(g.ids.to_list())
+        assert ids.tolist() == want[d] and (g.doc_tokens == len(ids)).all() and g.start.tolist() == [0, *g.length.cumsum()][:-1]
+        assert [zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in g.ids] == g.ids_crc32.tolist()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum()][:-1]
 
 
 def test_mix_repeats(spark):
