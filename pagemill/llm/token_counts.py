@@ -1,7 +1,7 @@
 """Token counts with a whole-token shortcut.
 
 Offline, each string of the vocabulary that the library encodes alone as one token is found (`bpe.prove_whole_tokens`).
-Pieces of a text that are among them count one at once; only the rest are merged.
+Pre-tokens of a text that are among them count one at once; only the rest are merged.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from ._common import with_code
+from ._common import tidied, with_code
 
 
 @functools.lru_cache(maxsize=1)
@@ -23,7 +23,7 @@ def _counts(vocabulary: str, whole: frozenset[str]) -> bpe.Counts:
 
 
 def count_tokens(text: str, counts: bpe.Counts) -> int:
-    return sum(counts.of(bpe.PIECE.findall(text)))
+    return sum(sum(counts.of(bpe.PIECE.findall(part))) for part in bpe.slices(text))
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, vocabulary: str = "byte_bpe_50k") -> DataFrame:
@@ -42,5 +42,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("b"))
-    out = rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidied(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
