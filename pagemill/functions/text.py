@@ -213,7 +213,7 @@ def match_form(text: Column) -> Column:
 
 def latex_safe(text: Column) -> Column:
     """punctuation apart from display formulas, tags as text."""
-    out = F.regexp_replace(text, r"(?s)\$\$(.{1,3000}?)\$\$([，。、；,.;!?])", "\\$\\$\n$1\n\\$\\$\n$2\n")
+    out = F.regexp_replace(text, r"(?s)\$\$(.+?)\$\$([，。、；,.;!?])", "\\$\\$\n$1\n\\$\\$\n$2\n")
     return F.regexp_replace(out, r"\\tag\{([^}]+)\}", r"\\quad \\text{($1)}")
 
 
@@ -230,7 +230,7 @@ def is_step(line: Column) -> Column:
 
 def exercise_headings(text: Column) -> Column:
     """F25."""
-    return F.regexp_replace(text, r"(?m)^(#{1,6})\s*第\s*(\d+(?:\.\d+)?)\s*题", "$1 习题 $2")
+    return F.regexp_replace(text, r"(?mU)^#{2,4}\s*第\s*([\d.]+(?:\([a-zA-Z0-9]+\))?)\s*题\s*$", "## 习题 $1")
 
 
 def fence_count(text: Column) -> Column:
@@ -238,16 +238,20 @@ def fence_count(text: Column) -> Column:
 
 
 def balance_fences(text: Column) -> Column:
-    """each section (from one ### heading to the next) with an odd number of fences gets one more."""
-    sections = F.split(text, r"(?m)(?<=\n)(?=### )")
-    fixed = F.transform(sections, lambda s: F.when(fence_count(s) % 2 == 1, F.concat(F.rtrim(F.regexp_replace(s, r"\s+\z", "")), F.lit("\n```\n"))).otherwise(s))
+    """each item (from one second-level heading of an exercise to the next) with an odd number of fences gets one more."""
+    items = F.split(text, r"(?m)(?<=\n)(?=## 习题 )")
+    fixed = F.transform(items, lambda s: F.when(fence_count(s) % 2 == 1, F.concat(_rstrip(s), F.lit("\n```\n\n"))).otherwise(s))
     return F.array_join(fixed, "")
 
 
+def _rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+\z", "")
+
+
 def light_clean(text: Column) -> Column:
-    """what a section gets when it can't be reflowed: no emoji, no rules, at most one empty line."""
-    out = F.regexp_replace(F.regexp_replace(text, EMOJI, ""), r"(?m)^\s*(?:-{3,}|\*{3,})\s*$", "")
-    return F.regexp_replace(out, r"\n{3,}", "\n\n")
+    """what an item gets when it can't be reflowed: no emoji, at most one empty line."""
+    out = F.regexp_replace(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", ""), r"\n{3,}", "\n\n")
+    return F.concat(_rstrip(out), F.lit("\n\n"))
 
 
 def too_long(text: Column, most: int = 5000) -> Column:
@@ -255,16 +259,40 @@ def too_long(text: Column, most: int = 5000) -> Column:
     return F.exists(F.split(text, "\n"), lambda x: F.length(x) > most)
 
 
+# Negations that a TeX engine has signs for, and font commands that need braces as a script.
+NEGATED = {
+    "\\not\\implies": "\\nRightarrow", "\\not\\Rightarrow": "\\nRightarrow", "\\not\\Longrightarrow": "\\nRightarrow", "\\not\\impliedby": "\\nLeftarrow",
+    "\\not\\Leftarrow": "\\nLeftarrow", "\\not\\iff": "\\nLeftrightarrow", "\\not\\Leftrightarrow": "\\nLeftrightarrow", "\\not\\rightarrow": "\\nrightarrow",
+    "\\not\\to": "\\nrightarrow", "\\not\\mid": "\\nmid", "\\not\\in": "\\notin",
+}
+SCRIPT_FONTS = "bb|cal|bf|rm|it|frak|sf|tt|scr|bfit"
+PAGE_BREAK = '<div style="page-break-after: always;"></div>'
+
+
+def _even_dollars(line: Column) -> Column:
+    """A display formula's missing dollar put at its end, or one too many there taken off."""
+    bare = F.regexp_replace(line, r"(?U)\s+$", "")
+    odd = (F.length(bare) - F.length(F.replace(bare, F.lit("$"), F.lit("")))) % 2 == 1
+    two = lambda f: f(bare, F.lit("$$"))
+    missing = two(F.startswith) & F.endswith(bare, F.lit("$")) & ~two(F.endswith) & odd
+    surplus = F.startswith(bare, F.lit("$")) & ~two(F.startswith) & two(F.endswith) & odd
+    return F.when(missing, F.concat(bare, F.lit("$"))).when(surplus, F.left(bare, F.length(bare) - 1)).otherwise(line)
+
+
 def sanitize_tex(text: Column) -> Column:
-    """what a TeX engine can't take: emoji, tags, loose dollars within spaces, page breaks, unsized images."""
-    out = F.regexp_replace(text, EMOJI, "")
-    out = F.regexp_replace(out, r"\\tag\{[^{}]*\}", "")
-    out = F.regexp_replace(out, r"\$[ \t]+([^$\n]{1,400}?)[ \t]*\$", "\\$$1\\$")
-    out = F.regexp_replace(out, r"\\not\s*=", r"\\\\neq ")
-    out = F.regexp_replace(out, r"(?m)^<div[^>\n]*page-break[^>\n]*></div>\s*$", r"\\\\newpage")
-    out = F.regexp_replace(out, r"(!\[[^\]\n]{0,200}\]\([^)\n]{1,400}\))(?!\{)", "$1{width=90%}")
-    odd = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("$"), F.lit("")))) % 2 == 1
-    return F.array_join(F.transform(F.split(out, "\n"), lambda x: F.when(odd(F.replace(x, F.lit("\\$"), F.lit(""))), F.concat(x, F.lit("$"))).otherwise(x)), "\n")
+    """what a TeX engine can't take: emoji, tags, punctuation after display formulas, blanks inside dollars, bare
+    fonts as scripts, negated arrows, uneven dollars, texts and sizes of images, page breaks; in this order."""
+    out = F.regexp_replace(F.regexp_replace(text, EMOJI, ""), r"\\tag\{([^}]+)\}", r"\\quad \\text{($1)}")
+    out = F.regexp_replace(out, r"\$\$([^$]+?)\$\$([，。、；,.;!?])", "\\$\\$\n$1\n\\$\\$\n$2\n")
+    out = F.regexp_replace(out, r"(?<![$\\])\$(?!\$)([^$\n]+?)(?<!\\)\$(?!\$)", "\\$\x01$1\x02\\$")  # what stands within is marked, then trimmed
+    out = F.regexp_replace(out, "(?U)\x01\\s*|\\s*\x02", "")
+    out = F.regexp_replace(out, r"([\^_])\\(math(?:" + SCRIPT_FONTS + r"))\{([^{}]*)\}", r"$1{\\$2{$3}}")
+    out = F.replace(out, F.lit("\\centernot"), F.lit("\\not"))
+    for negated, sign in NEGATED.items():
+        out = F.replace(out, F.lit(negated), F.lit(sign))
+    out = F.array_join(F.transform(F.split(out, "\n"), _even_dollars), "\n")
+    out = F.regexp_replace(out, r"!\[.*?\]\((.*?)\)", "![]($1){width=95%}")
+    return F.replace(out, F.lit(PAGE_BREAK), F.lit("\n\\newpage\n"))
 
 
 def degrade(section: Column) -> Column:
@@ -331,9 +359,9 @@ def signature(text: Column) -> Column:
 
 
 def bracket_delimiters(text: Column) -> Column:
-    """\\( \\) and \\[ \\] as dollars."""
-    out = F.regexp_replace(text, r"\\\((.{1,2000}?)\\\)", "\\$$1\\$")
-    return F.regexp_replace(out, r"(?s)\\\[(.{1,4000}?)\\\]", "\\$\\$$1\\$\\$")
+    """\\[ \\] as dollars on lines of their own, and \\( \\), unless escaped, as dollars; blanks inside go."""
+    out = F.regexp_replace(text, r"(?sU)\\\[\s*(.*?)\s*\\\]", "\n\\$\\$\n$1\n\\$\\$\n")
+    return F.regexp_replace(out, r"(?sU)(?<!\\)\\\(\s*(.*?)\s*\\\)", "\\$$1\\$")
 
 
 def plain_labels(text: Column) -> Column:

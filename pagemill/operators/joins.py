@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-IMPORTED = ("imported", "imported_checked")
+# Where a text can come from.
+IMPORTED = ("imported", "imported_check")
+TRUSTED = ("text_layer", "verified", *IMPORTED)
+VERIFIED = ("verified", "imported")  # imported_check is still to be checked
 
 
 def first_filled(*cols: str) -> Column:
@@ -60,11 +63,13 @@ def keep_text(new: DataFrame, old: DataFrame, key: str, page: str, text: str, le
 
 
 def write_back(problems: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Verified texts go back to (chapter, problem_id); imported ones keep their source."""
+    """Texts found right go back to (chapter, problem_id), as verified or, if they were imported without a check, as
+    imported; a verdict without text or against it changes nothing."""
     v = verdicts.select("chapter", "problem_id", F.col("text").alias("_t"), "text_ok")
     joined = problems.join(v, ["chapter", "problem_id"], "left")
-    source = F.when(F.col("text_source").isin(*IMPORTED), F.col("text_source")).when(F.col("text_ok"), "verified").when(~F.col("text_ok"), "transcribed").otherwise(F.col("text_source"))
-    return joined.withColumn("text", F.coalesce("_t", "text")).withColumn("text_source", source).drop("_t", "text_ok")
+    use = F.coalesce(F.col("text_ok") & (F.col("_t") != ""), F.lit(False))
+    source = F.when(F.col("text_source") == "imported", "imported").otherwise("verified")
+    return joined.withColumn("text", F.when(use, F.col("_t")).otherwise(F.col("text"))).withColumn("text_source", F.when(use, source).otherwise(F.col("text_source"))).drop("_t", "text_ok")
 
 
 def pages_index(problems: DataFrame) -> DataFrame:
@@ -88,18 +93,26 @@ def mask_owner(masks: DataFrame, boxes: DataFrame) -> DataFrame:
     return best.select("mask", F.when(F.col("b.area") > 0, F.col("b.box")).otherwise(F.lit(-1)).cast("long").alias("owner"), F.coalesce(F.when(F.col("b.area") > 0, F.col("b.area")), F.lit(0)).cast("long").alias("area"))
 
 
-def nearest(points: DataFrame, samples: DataFrame, key: str, at: str, sample: str, value: str) -> DataFrame:
+def nearest(points: DataFrame, samples: DataFrame, key: str, at: str, sample: str, value: str, stretches: int = 64) -> DataFrame:
     """For each point the value of the nearest sample on either side; of equals the smaller sample.
 
-    Both kinds of rows are sorted together once and each point looks at the last sample before and the first after
-    it, so no pair of them is made. Buckets of equal count of sorted rows would spread it further.
+    Both kinds of rows are sorted together and each point looks at the last sample before and the first after it, so no
+    pair of them is made. They are sorted in stretches between quantiles of the samples; what a stretch does not hold
+    itself it gets from the nearest one that does, over a table of one row a stretch.
     """
-    p = points.select(F.col(key).alias("k"), F.col(at).alias("x"), F.lit(None).cast(dict(samples.dtypes)[sample]).alias("s"), F.lit(None).cast(dict(samples.dtypes)[value]).alias("v"), F.lit(1).alias("kind"))
-    s = samples.groupBy(F.col(sample).alias("x")).agg(F.min(value).alias("v")).select(F.lit(None).cast(dict(points.dtypes)[key]).alias("k"), "x", F.col("x").alias("s"), "v", F.lit(0).alias("kind"))
-    both = p.unionByName(s)
-    lo = F.last(F.when(F.col("kind") == 0, F.struct("s", "v")), ignorenulls=True).over(Window.partitionBy("_part").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.last(F.when(F.col("kind") == 0, F.struct("s", "v")), ignorenulls=True).over(Window.partitionBy("_part").orderBy(F.desc("x"), "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("_part", F.lit(0)).withColumn("lo", lo).withColumn("hi", hi).filter("kind = 1")
+    kinds, kind_of = dict(samples.dtypes), dict(points.dtypes)
+    bounds = samples.agg(F.percentile_approx(sample, [i / stretches for i in range(1, stretches)], 10_000).alias("b")).first()["b"] or []
+    stretch = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= F.col("x"))) if bounds else F.lit(0)
+    p = points.select(F.col(key).alias("k"), F.col(at).alias("x"), F.lit(None).cast(kinds[sample]).alias("s"), F.lit(None).cast(kinds[value]).alias("v"), F.lit(1).alias("kind"))
+    s = samples.filter(F.col(sample).isNotNull()).groupBy(F.col(sample).alias("x")).agg(F.min(value).alias("v")).select(F.lit(None).cast(kind_of[key]).alias("k"), "x", F.col("x").alias("s"), "v", F.lit(0).alias("kind"))
+    both = p.unionByName(s).withColumn("_part", stretch)
+    own = F.when(F.col("kind") == 0, F.struct("s", "v"))
+    before = lambda *order: F.last(own, ignorenulls=True).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("lo", before("x", "kind")).withColumn("hi", before(F.desc("x"), "kind")).filter("kind = 1")
+    ends = both.groupBy("_part").agg(F.max_by(own, F.when(F.col("kind") == 0, F.col("x"))).alias("last"), F.min_by(own, F.when(F.col("kind") == 0, F.col("x"))).alias("first"))
+    over = Window.orderBy("_part")  # a row a stretch
+    ends = ends.select("_part", F.last("last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.first("first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    found = found.join(F.broadcast(ends), "_part").withColumn("lo", F.coalesce("lo", "below")).withColumn("hi", F.coalesce("hi", "above"))  # at most ``stretches`` rows
     use_lo = F.col("hi").isNull() | (F.col("lo").isNotNull() & ((F.col("x") - F.col("lo.s")) <= (F.col("hi.s") - F.col("x"))))
     return found.select(F.col("k").alias(key), F.col("x").alias(at), F.when(use_lo, F.col("lo.s")).otherwise(F.col("hi.s")).alias(sample), F.when(use_lo, F.col("lo.v")).otherwise(F.col("hi.v")).alias(value))
 
@@ -173,19 +186,25 @@ def body_lines(lines: DataFrame, geometry: DataFrame) -> DataFrame:
     return lines.join(geometry.select("page", "header_cut", "footer_cut"), "page").filter("y1 > header_cut and y0 < footer_cut").drop("header_cut", "footer_cut")
 
 
-# Words that mark headings, chapter openers and the end of exercises.
+# Words that mark headings, chapter openers and the end of exercises, in text without white space.
 HEADING_WORDS = "(?i)(习题|思考题|练习题|复习题|基本题|深入题|扩充题|Problems|Exercises)"
+NUMBERED_HEADING = r"(?iU)^(?:§)?\d{1,2}(?:[.．]\d{1,2})*(?:习题|练习题|思考题|Exercises|Problems)$"
 OPENER = r"^第[0-9一二三四五六七八九十百]+章"
 STOP_WORDS = "^(附录|参考文献|索引|部分?习题(参考)?答案|习题解答|参考答案|答案|习题提示)"
-CAPTION = r"(?U)^图\s*[PpＰ]?\s*(\d{1,2})\s*[.\-－—–·．]\s*(\d{1,3})\s*(?:\([a-z]\)|（[a-z]）)?\s*$"
+ANSWER_WORDS, NO_ANSWER_WORDS = "答案|解答|题解", "[附带含]答案"
+SENTENCE_MARKS = "[，。；！？,;!?]"
+CAPTION = T.CAPTION
 CONFUSABLE = "一丨丁二十"
 
 
 def line_kind(text: Column, height: Column, median: Column, y0: Column, page_height: Column) -> Column:
-    """Stop, opener or heading, tried in that order on the text without white space; else null."""
-    bare = F.regexp_replace(text, r"(?U)\s+", "")
-    sentence = bare.rlike("[。，；？]")
-    return F.when(bare.rlike(STOP_WORDS) & ~sentence & (F.length(bare) <= 12), "stop").when(bare.rlike(OPENER) & (height >= 1.35 * median) & (y0 > 0.12 * page_height), "opener").when(bare.rlike(HEADING_WORDS) & ~sentence & (F.length(bare) <= 12), "heading")
+    """Stop, opener or heading, tried in that order on the text without white space; else null."""
+    bare = T.without_space(text)
+    title = (F.length(bare) <= 16) & ~bare.rlike(SENTENCE_MARKS)
+    stop = title & (bare.rlike(STOP_WORDS) | bare.rlike(ANSWER_WORDS) & ~bare.rlike(NO_ANSWER_WORDS))
+    opener = bare.rlike(OPENER) & (height >= 1.35 * median) & (y0 > 0.12 * page_height)
+    heading = (F.length(bare) <= 14) & bare.rlike(HEADING_WORDS) & ~_anchored(text) | (F.length(bare) <= 24) & bare.rlike(NUMBERED_HEADING)
+    return F.when(stop, "stop").when(opener, "opener").when(heading, "heading")
 
 
 def page_kind(lines: DataFrame, page: str = "page", kind: str = "kind", right_edge: Column | None = None, least: int = 5) -> DataFrame:
@@ -201,8 +220,8 @@ def is_prose(text: Column) -> Column:
     return (F.length(F.regexp_replace(han, f"[{CONFUSABLE}]", "")) >= 2) & ~text.rlike(CAPTION)
 
 
-def already_verified(source: Column, text: Column, sources: tuple[str, ...] = ("verified", "transcribed", *IMPORTED), least: int = 8) -> Column:
-    """A trusted source, enough text and no control character."""
+def already_verified(source: Column, text: Column, sources: tuple[str, ...] = VERIFIED, least: int = 8) -> Column:
+    """Verified, or imported without a check; enough text and no control character."""
     return source.isin(*sources) & (F.length(text) >= least) & ~text.rlike(r"[\t\x08\x0b\x0c\r]")
 
 
@@ -224,7 +243,7 @@ def text_only(source: Column, has_fig: Column) -> Column:
 
 def needs_transcription(source: Column, text: Column, least: int = 8) -> Column:
     """Not from a trusted source, or too short."""
-    return ~F.coalesce(source, F.lit("")).isin("verified", "transcribed", *IMPORTED) | (F.length(F.trim(F.coalesce(text, F.lit("")))) < least)
+    return ~F.coalesce(source, F.lit("")).isin(*TRUSTED) | (F.length(F.trim(F.coalesce(text, F.lit("")))) < least)
 
 
 def is_easy(section: Column) -> Column:
@@ -263,13 +282,14 @@ def in_column(x0: Column, x1: Column, left: Column, right: Column, slack: int =
     return (x0 >= left - slack) & (x1 <= right + slack)
 
 
-def header_cut(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """P20: the bottom of a page's header: its rule in the top 14 %, else the lowest text in the top 9 % that does not
-    begin as a problem does, else 0; above a line that begins with the word for exercise and a number, in any case."""
-    rule = rules.filter("y <= 0.14 * H").groupBy("page").agg(F.max("y").alias("rule"))
-    text = lines.filter((F.col("y1") <= 0.09 * F.col("H")) & ~_anchored(F.col("text"))).groupBy("page").agg(F.max("y1").alias("text"))
-    cuts = lines.select("page").distinct().join(rule, "page", "left").join(text, "page", "left").select("page", F.coalesce("rule", "text", F.lit(0.0)).alias("header_cut"))
-    first = lines.join(cuts, "page").filter((F.col("y0") < F.col("header_cut")) & F.col("text").rlike(T.PREFIX)).groupBy("page").agg(F.greatest(F.lit(0.0), F.min("y0") - 4).alias("first"))
+def header_cut(lines: DataFrame, rules: DataFrame, has_headers: bool | Column = True) -> DataFrame:
+    """P20: the bottom of a page's header: 3 below its rule in the top 14 %, else 4 below the lowest text in the top 9 %
+    that does not begin as a problem does, if the book has headers at all (A15), else 0; but 4 above a line that begins
+    with the word for exercise and a number, which is never part of a header."""
+    rule = rules.filter("y <= 0.14 * H").groupBy("page").agg((F.floor(F.max("y")) + 3).alias("rule"))
+    text = lines.filter((F.col("y1") < 0.09 * F.col("H")) & ~_anchored(F.col("text")) & F.lit(has_headers)).groupBy("page").agg((F.floor(F.max("y1")) + 4).alias("text"))
+    cuts = lines.select("page").distinct().join(rule, "page", "left").join(text, "page", "left").select("page", F.coalesce("rule", "text", F.lit(0)).cast("double").alias("header_cut"))
+    first = lines.join(cuts, "page").filter((F.col("y0") < F.col("header_cut")) & F.col("text").rlike(T.PREFIX)).groupBy("page").agg(F.greatest(F.lit(0), F.floor(F.min("y0")) - 4).cast("double").alias("first"))
     return cuts.join(first, "page", "left").select("page", F.coalesce("first", "header_cut").alias("header_cut"))
 
 
@@ -283,13 +303,14 @@ def footer_cut(
     rules: DataFrame | None = None,
     slashed: str = r"^[\s/|\\Il1·\-—–]*\d{1,4}[\s/|\\Il1·\-—–]*$",
 ) -> DataFrame:
-    """The top of a page's footer: a page number in the bottom 6 %, or a narrow one between slashes in the bottom
-    15 %, else the page's end; or above that a footnote rule (page, y, x0, x1 in ``rules``) in the lowest 28 %, which is
-    in the left half, 12 % of the page long, and has no problem below it. The white around a rule is up to its finder."""
+    """The top of a page's footer: 3 above a page number (or a roman one) in the bottom 6 %, or a narrow one between
+    slashes in the bottom 15 %, else 97 % of the page; or above that, by 4, a footnote rule (page, y, x0, x1 in ``rules``)
+    in the lowest 28 %, which is in the left half, 12 % of the page long, and has no problem below it. The white around
+    a rule is up to its finder."""
     text, low = F.col("text"), F.col("y0") / F.col("H")
     narrow = (F.col("x1") - F.col("x0") < 0.25 * F.col("W")) & text.contains("/") & text.rlike(slashed)
     at = F.when(text.rlike(number) & (low > 0.94) | narrow & (low > 0.85), F.col("y0"))
-    cuts = lines.groupBy("page").agg(F.coalesce(F.min(at), F.max("H").cast("double")).alias("footer_cut"), F.max("H").alias("_h"), F.max("W").alias("_w"), F.max(F.when(_anchored(text), F.col("y0"))).alias("_anchor"))
+    cuts = lines.groupBy("page").agg(F.coalesce(F.floor(F.min(at)) - 3, F.floor(0.97 * F.max("H"))).cast("double").alias("footer_cut"), F.max("H").alias("_h"), F.max("W").alias("_w"), F.max(F.when(_anchored(text), F.col("y0"))).alias("_anchor"))
     if rules is None:
         return cuts.select("page", "footer_cut")
     length = F.least("x1", 0.5 * F.col("_w")) - F.greatest("x0", 0.04 * F.col("_w"))
@@ -298,9 +319,14 @@ def footer_cut(
     return cuts.join(notes, "page", "left").select("page", F.least("footer_cut", "_note").alias("footer_cut"))
 
 
-def terminators(lines: DataFrame, kind: str = "kind") -> DataFrame:
-    """Rows of a page at which an exercise ends."""
-    return lines.filter(F.col(kind).isin("stop", "opener", "heading")).groupBy("page").agg(F.array_sort(F.collect_list("y0")).alias("rows"))
+def terminators(lines: DataFrame, kind: str = "kind", partial: str | None = None) -> DataFrame:
+    """Rows of a page at which an exercise ends: simulation exercises, titles standing alone, stops and openers, in
+    the left half. Of a line that was read in part only (``partial``) nothing but the first counts."""
+    text = F.trim("text")
+    whole = ~F.coalesce(F.col(partial), F.lit(False)) if partial else F.lit(True)
+    ends = text.rlike(T.SIMULATION) | whole & (T.without_space(text).rlike(T.TITLE) | F.coalesce(F.col(kind).isin("stop", "opener"), F.lit(False)))
+    found = lines.filter((text != "") & (F.col("x0") <= 0.5 * F.col("W")) & ends)
+    return found.groupBy("page").agg(F.array_sort(F.collect_list("y0")).alias("rows"))
 
 
 def document_class(pages: DataFrame, words: dict[str, list[str]]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Order-dependent operators (W rows of the inventory).
 
 Where a row's fate depends only on its neighbours, windows are used. Where a rejected row must not become anybody's
-predecessor, the rows of one document are folded in order with `aggregate`; documents are the unit of parallel work.
+predecessor, the rows of one document pass by a state in order (`folds`); documents are the unit of parallel work.
 """
 
 from __future__ import annotations
@@ -9,50 +9,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .folds import Anchors, Chain, Expected, FirstGroup, Greater, Plain, Rows, Spaced, fold
+
 MAX_SKIP = 2
 
 
 def validate_sequence(rows: DataFrame, doc: str, order: list[str], index: str, skip: int = MAX_SKIP) -> DataFrame:
     """W1 for one chapter per document: accept the expected number, or one at most ``skip`` above it (the numbers left
     out are gaps), or 1 as a restart; reject the rest, which changes nothing. (doc, accepted, gaps, rejected), arrays in order."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(index).cast("long").alias("k")))), lambda x: x["k"])
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(1).cast("long").alias("want"), none.alias("accepted"), none.alias("gaps"), none.alias("rejected"))
-
-    def step(s: Column, k: Column) -> Column:
-        ahead = (k > s["want"]) & (k <= s["want"] + skip)
-        fits = (k == s["want"]) | ahead | (k == 1)
-        gap = F.when(ahead, F.sequence(s["want"], F.greatest(k - 1, s["want"]))).otherwise(none)
-        return F.struct(
-            F.when(fits, k + 1).otherwise(s["want"]).alias("want"),
-            F.when(fits, F.concat(s["accepted"], F.array(k))).otherwise(s["accepted"]).alias("accepted"),
-            F.concat(s["gaps"], gap).alias("gaps"),
-            F.when(fits, s["rejected"]).otherwise(F.concat(s["rejected"], F.array(k))).alias("rejected"),
-        )
-
-    folded = rows.filter(F.col(index).isNotNull()).groupBy(doc).agg(steps.alias("ks")).select(doc, F.aggregate("ks", start, step).alias("s"))
-    return folded.select(doc, "s.accepted", "s.gaps", "s.rejected")
+    numbered = rows.filter(F.col(index).isNotNull()).select(doc, *order, F.col(index).cast("long").alias("_k"))
+    return fold(numbered, [doc], [*order, "_k"], ["_k"], lambda: Expected(skip), "accepted array<bigint>, gaps array<bigint>, rejected array<bigint>")
 
 
 def validate_plain(rows: DataFrame, doc: str, order: list[str], index: str, kind: str, skip: int = MAX_SKIP) -> DataFrame:
-    """Numbers without a chapter. A heading row opens a section, a stop row closes it; inside one the next number
+    """W2, W3 for one chapter per document: a heading row opens a section, a stop row closes it; inside one the next number
     is accepted, one at most ``skip`` above, or 1 right after a heading. (doc, accepted) in order."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("kind"), F.col(index).cast("long").alias("k")))), lambda x: F.struct(x["kind"].alias("kind"), x["k"].alias("k")))
-    start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("opened"), F.lit(1).cast("long").alias("want"), F.array().cast("array<bigint>").alias("accepted"))
+    numbered = rows.select(doc, *order, F.col(kind).alias("_kind"), F.col(index).cast("long").alias("_k"))
+    return fold(numbered, [doc], [*order, "_kind", "_k"], ["_kind", "_k"], lambda: Plain(skip), "accepted array<bigint>")
 
-    def step(s: Column, x: Column) -> Column:
-        heading, stop = x["kind"] == "heading", x["kind"] == "stop"
-        fits = s["inside"] & x["k"].isNotNull() & ((x["k"] == s["want"]) | ((x["k"] > s["want"]) & (x["k"] <= s["want"] + skip)) | ((x["k"] == 1) & s["opened"]))
-        fits = F.coalesce(fits, F.lit(False)) & ~heading & ~stop
-        return F.struct(
-            F.when(heading, True).when(stop, False).otherwise(s["inside"]).alias("inside"),
-            F.when(heading, True).when(fits | stop, False).otherwise(s["opened"]).alias("opened"),
-            F.when(fits, x["k"] + 1).otherwise(s["want"]).alias("want"),
-            F.when(fits, F.concat(s["accepted"], F.array(x["k"]))).otherwise(s["accepted"]).alias("accepted"),
-        )
 
-    folded = rows.groupBy(doc).agg(steps.alias("xs")).select(doc, F.aggregate("xs", start, step).alias("s"))
-    return folded.select(doc, "s.accepted")
+def find_anchors(lines: DataFrame, doc: str = "doc", skip: int = MAX_SKIP) -> DataFrame:
+    """W1, W2, W3 in full: numbers of exercises in documents, as (doc, page, y0, x0, ch, k, gap).
+
+    lines (doc, page, y0, x0, W, text, kind, page_kind, page_chapter, exam) are body lines with their kinds (P2, P3) and
+    the chapter of their page (W7; null if unknown). Per line all candidates (F1) are tried by one rule before the next:
+    the expected number of the chapter; one at most ``skip`` above, which leaves a gap; 1 of any chapter within a page of
+    a heading. Once a number with the word for exercise in front was accepted, others do not count in that section. Lines
+    without candidates may hold plain numbers, which count by chapter, in exams also on from the section before. Null
+    texts, pages or tops are no lines; a null ``exam`` is no exam.
+    """
+    text = F.trim("text")
+    section = F.regexp_extract(text, T.EXAM_SECTION, 1)
+    heads = (section != "") & (F.col("x0") < 0.4 * F.col("W")) & F.regexp_extract(text, T.EXAM_SECTION, 2).rlike("[题分]")
+    opener = F.regexp_extract(T.without_space(F.col("text")), "^第([0-9]+)章", 1)
+    number = T.repair_digits(F.regexp_extract(text, T.PLAIN, 1))
+    seen = lines.filter("text is not null and page is not null and y0 is not null").select(
+        doc, "page", F.col("y0").cast("double").alias("y0"), F.col("x0").cast("double").alias("x0"), F.coalesce("exam", F.lit(False)).alias("_exam"), "page_kind", "page_chapter", "kind",
+        F.when(opener != "", opener.cast("int")).alias("_opener"), F.when(heads, F.coalesce(T.chinese_numeral(F.left(section, F.lit(1))), F.lit(0))).alias("_section"),
+        ((F.col("x0") <= 0.5 * F.col("W")) & (text != "")).alias("_left"), T.anchor_candidates(text).alias("_candidates"), F.col("text").rlike(T.PREFIX).alias("_prefixed"), F.when(number.rlike(r"^\d+$"), number.cast("int")).alias("_number"),
+    )
+    values = ["page", "y0", "x0", "_exam", "page_kind", "page_chapter", "kind", "_opener", "_section", "_left", "_candidates", "_prefixed", "_number"]
+    return fold(seen, [doc], ["page", "y0", "x0"], values, lambda: Anchors(skip), "page int, y0 double, x0 double, ch int, k int, gap array<int>")
 
 
 def carry_section(rows: DataFrame, doc: str, order: list[str], kind: str) -> DataFrame:
@@ -68,12 +66,20 @@ def number_segments(rows: DataFrame, chapter: str, order: list[str], index: str)
     return rows.withColumn("_new", ((F.col(index) == 1) | first).cast("int")).withColumn("seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def runs(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Runs of consecutive numbers as (key, lo, hi, n)."""
-    distinct = rows.select(*key, F.col(value).cast("long").alias("_v")).filter("_v is not null").distinct()
-    w = Window.partitionBy(*key).orderBy("_v") if key else Window.orderBy("_v")
-    grouped = distinct.withColumn("_g", F.col("_v") - F.row_number().over(w))
-    return grouped.groupBy(*key, "_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count(F.lit(1)).alias("n")).drop("_g")
+def runs(rows: DataFrame, key: list[str], value: str, stretch: int = 1 << 16) -> DataFrame:
+    """Runs of consecutive numbers as (key, lo, hi, n).
+
+    Runs are found within stretches of the numbers first, so that one key's are spread; only those that touch an end of
+    their stretch are then joined with their neighbours, two rows a stretch at most.
+    """
+    distinct = rows.select(*key, F.col(value).cast("long").alias("_v")).filter("_v is not null").distinct().withColumn("_s", F.floor(F.col("_v") / stretch))
+    found = distinct.withColumn("_g", F.col("_v") - F.row_number().over(Window.partitionBy(*key, "_s").orderBy("_v")))
+    found = found.groupBy(*key, "_s", "_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).drop("_g", "_s")
+    touches = (F.pmod("lo", F.lit(stretch)) == 0) | (F.pmod(F.col("hi") + 1, F.lit(stretch)) == 0)
+    w = Window.partitionBy(*key).orderBy("lo") if key else Window.orderBy("lo")
+    first = F.coalesce(F.col("lo") != F.lag("hi").over(w) + 1, F.lit(True)).cast("int")
+    joined = found.filter(touches).withColumn("_new", first).withColumn("_run", F.sum("_new").over(w)).groupBy(*key, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+    return found.filter(~touches).unionByName(joined).withColumn("n", F.col("hi") - F.col("lo") + 1)
 
 
 def forward_fill(rows: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -84,21 +90,11 @@ def forward_fill(rows: DataFrame, key: list[str], order: list[str], value: str,
 def next_greater(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """The value of the first later row that is strictly greater, else null.
 
-    A range self-join would compare every pair of a key. Instead a key's rows are folded from the last to the first
-    over a stack of candidates: a row removes from it all that are not greater, for they are hidden behind it from then on.
+    A range self-join would compare every pair of a key. Instead a key's rows pass by from the last to the first, over a
+    stack from which a row removes all that are not greater, for they are hidden behind it from then on.
     """
-    items = F.reverse(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))))
-    kinds = dict(rows.dtypes)
-    item = f"struct<o:{kinds[order]},v:{kinds[value]},next:{kinds[value]}>"
-    start = F.struct(F.array().cast(f"array<{kinds[value]}>").alias("stack"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        open_ = F.filter(s["stack"], lambda v: v > x["v"])
-        found = F.struct(x["o"].alias("o"), x["v"].alias("v"), F.try_element_at(open_, F.lit(-1)).alias("next"))
-        return F.struct(F.concat(open_, F.array(x["v"])).alias("stack"), F.concat(s["out"], F.array(found)).alias("out"))
-
-    folded = rows.groupBy(*key).agg(items.alias("xs")).select(*key, F.explode(F.aggregate("xs", start, step)["out"]).alias("r"))
-    return folded.select(*key, F.col("r.o").alias(order), F.col("r.v").alias(value), F.col("r.next").alias("next_value"))
+    kind = dict(rows.dtypes)
+    return fold(rows, key, [F.desc(order), F.desc(value)], [order, value], Greater, f"`{order}` {kind[order]}, `{value}` {kind[value]}, next_value {kind[value]}")
 
 
 def segment_bounds(anchors: DataFrame, key: str, page: str, y: str, height: int, overflow: float = 0.08, bottom: str | None = None) -> DataFrame:
@@ -137,32 +133,14 @@ def gap_regions(anchors: DataFrame, chapter: str, order: list[str], index: str)
 def cluster_rows(items: DataFrame, key: str, position: str, order: list[str], tolerance: float) -> DataFrame:
     """Items of a key in rows; an item joins the current row while it is within ``tolerance`` of the row's first
     item, so rows do not chain. (key, row_id, start, n)"""
-    values = F.array_sort(F.collect_list(F.struct(F.col(position).cast("double").alias("p"), *order)))
-    row = "struct<start:double,n:bigint>"
-    start = F.array().cast(f"array<{row}>")
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        joins = F.coalesce(F.abs(x["p"] - last["start"]) <= tolerance, F.lit(False))
-        grown = F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), (last["n"] + 1).alias("n"))))
-        return F.when(joins, grown).otherwise(F.concat(s, F.array(F.struct(x["p"].alias("start"), F.lit(1).cast("long").alias("n")))))
-
-    folded = items.filter(F.col(position).isNotNull()).groupBy(key).agg(values.alias("xs")).select(key, F.posexplode(F.aggregate("xs", start, step)).alias("i", "r"))
-    return folded.select(key, (F.col("i") + 1).cast("long").alias("row_id"), F.col("r.start").alias("start"), F.col("r.n").alias("n"))
+    placed = items.filter(F.col(position).isNotNull()).select(key, *[c for c in order if c != position], F.col(position).cast("double").alias("_p"))
+    return fold(placed, [key], ["_p", *[c for c in order if c != position]], ["_p"], lambda: Rows(tolerance), "row_id long, start double, n long")
 
 
 def first_group(items: DataFrame, key: str, position: str, order: list[str], tolerance: float) -> DataFrame:
     """The older variant; an item joins the first earlier group within ``tolerance``, whichever it is."""
-    values = F.array_sort(F.collect_list(F.struct(*order, F.col(position).cast("double").alias("p"))))
-    start = F.array().cast("array<struct<start:double,n:bigint>>")
-
-    def step(s: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(s, lambda g: F.abs(g["start"] - x["p"]) <= tolerance), True)
-        grown = F.transform(s, lambda g, i: F.when(i + 1 == at, F.struct(g["start"].alias("start"), (g["n"] + 1).alias("n"))).otherwise(g))
-        return F.when(at > 0, grown).otherwise(F.concat(s, F.array(F.struct(x["p"].alias("start"), F.lit(1).cast("long").alias("n")))))
-
-    folded = items.groupBy(key).agg(values.alias("xs")).select(key, F.posexplode(F.aggregate("xs", start, step)).alias("i", "r"))
-    return folded.select(key, (F.col("i") + 1).cast("long").alias("group_id"), F.col("r.start").alias("start"), F.col("r.n").alias("n"))
+    placed = items.filter(F.col(position).isNotNull()).select(key, *order, F.col(position).cast("double").alias("_p"))
+    return fold(placed, [key], [*order, "_p"], ["_p"], lambda: FirstGroup(tolerance), "group_id long, start double, n long")
 
 
 def merge_neighbours(items: DataFrame, key: str, order: str, row: str, text: str, sep: str = "&emsp;&emsp;") -> DataFrame:
@@ -177,20 +155,9 @@ def merge_neighbours(items: DataFrame, key: str, order: str, row: str, text: str
 
 def merge_spaced(lines: DataFrame, page: str = "page") -> DataFrame:
     """Single characters set apart become one line again: same row (tops within half a height), gaps under three heights."""
-    xs = F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1", "text")))
-    start = F.array().cast("array<struct<y0:double,x0:double,x1:double,y1:double,text:string,single:boolean>>")
-
-    def step(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        h = last["y1"] - last["y0"]
-        one = F.length(x["text"]) == 1
-        joins = F.coalesce(last["single"] & one & (F.abs(x["y0"] - last["y0"]) < 0.5 * h) & (x["x0"] - last["x1"] < 3 * h) & (x["x0"] >= last["x0"]), F.lit(False))
-        both = F.struct(last["y0"].alias("y0"), last["x0"].alias("x0"), x["x1"].alias("x1"), F.greatest(last["y1"], x["y1"]).alias("y1"), F.concat(last["text"], x["text"]).alias("text"), F.lit(True).alias("single"))
-        alone = F.struct(x["y0"].alias("y0"), x["x0"].alias("x0"), x["x1"].alias("x1"), x["y1"].alias("y1"), x["text"].alias("text"), one.alias("single"))
-        return F.when(joins, F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(s, F.array(alone)))
-
-    folded = lines.groupBy(page).agg(xs.alias("xs")).select(page, F.explode(F.aggregate("xs", start, step)).alias("l"))
-    return folded.select(page, "l.y0", "l.x0", "l.x1", "l.y1", "l.text")
+    box = ["y0", "x0", "x1", "y1"]
+    rows = lines.select(page, *[F.col(c).cast("double").alias(c) for c in box], "text").filter("text is not null")
+    return fold(rows, [page], [*box, "text"], [*box, "text"], Spaced, "y0 double, x0 double, x1 double, y1 double, text string")
 
 
 def best_round(reviews: DataFrame, key: list[str], round_: str, score: str, passing: int = 95) -> DataFrame:
@@ -279,44 +246,6 @@ def carry_forward_sections(events: DataFrame, order: list[str], page: str, y: st
 
 def longest_chain(rows: DataFrame, doc: str, line: str, chapter: str, index: str) -> DataFrame:
     """Per document the longest chain with growing line and growing (chapter, index). Of equal lengths the later end
-    wins and, before it, the greater predecessor. (doc, length, chain)
-
-    Dynamic programming over one document at a time, for which there is no built-in; documents stream by in order.
-    """
-    import pandas as pd
-
-    kinds = dict(rows.dtypes)
-
-    def chain(items: list[tuple]) -> list[tuple]:
-        best, back = [1] * len(items), [-1] * len(items)
-        for x, (at, c) in enumerate(items):
-            for y in range(x):
-                if items[y][0] < at and items[y][1] < c and best[y] + 1 >= best[x]:
-                    best[x], back[x] = best[y] + 1, y
-        x = max(range(len(items)), key=lambda i: (best[i], i))
-        out = []
-        while x >= 0:
-            out.append(items[x][1])
-            x = back[x]
-        return out[::-1]
-
-    def run(batches):
-        doc_now, held = None, []
-        for pdf in batches:
-            found = []
-            for d, at, c, k in zip(pdf[doc], pdf[line], pdf[chapter], pdf[index], strict=True):
-                if d != doc_now:
-                    if held:
-                        found.append((doc_now, chain(held)))
-                    doc_now, held = d, []
-                held.append((at, (c, k)))
-            if found:
-                yield result(found)
-        if held:
-            yield result([(doc_now, chain(held))])
-
-    def result(found: list) -> pd.DataFrame:
-        return pd.DataFrame({doc: [d for d, _ in found], "length": [len(c) for _, c in found], "chain": [" ".join(f"{a}.{b}" for a, b in c) for _, c in found]})
-
-    dealt = rows.select(doc, line, chapter, index).distinct().repartition(doc).sortWithinPartitions(doc, line, chapter, index)
-    return dealt.mapInPandas(run, f"`{doc}` {kinds[doc]}, length long, chain string")
+    wins and, before it, the greater predecessor. (doc, length, chain)"""
+    distinct = rows.select(doc, line, F.col(chapter).cast("long").alias("_ch"), F.col(index).cast("long").alias("_k")).distinct()
+    return fold(distinct, [doc], [line, "_ch", "_k"], [line, "_ch", "_k"], Chain, "length long, chain string")

@@ -115,10 +115,12 @@ def active_project(projects: DataFrame, asked: str | None, configured: str | Non
 
 
 def bookmark_ranges(toc: DataFrame, pattern: str, tail: int = 6) -> DataFrame:
-    """Bookmarks whose title matches, each up to the next strictly greater page in list order, else ``tail`` pages on."""
-    later = toc.select(F.col("seq").alias("seq2"), F.col("page").alias("page2"))
-    found = toc.filter(F.col("title").rlike(pattern)).join(later, (F.col("seq2") > F.col("seq")) & (F.col("page2") > F.col("page")), "left")
-    return found.groupBy("seq", "title", "page").agg(F.min_by("page2", "seq2").alias("next")).select("seq", "title", F.col("page").alias("start"), F.coalesce("next", F.col("page") + tail).alias("end"))
+    """Bookmarks (seq, title, page) of one book whose title matches, each up to the next strictly greater page in
+    list order, else ``tail`` pages on."""
+    from ..operators.sequences import next_greater
+
+    later = next_greater(toc.select(F.lit(0).alias("_book"), "seq", "page"), ["_book"], "seq", "page").select("seq", F.col("next_value").alias("next"))
+    return toc.filter(F.col("title").rlike(pattern)).join(later, "seq").select("seq", "title", F.col("page").alias("start"), F.coalesce("next", F.col("page") + tail).alias("end"))
 
 
 def inbox(spark: SparkSession, path: str, schema: str, archive: str | None = None) -> DataFrame:

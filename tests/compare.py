@@ -1,6 +1,7 @@
 """Compares a query with its SQL, by column name and as bags of rows."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -8,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def bag(df):
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        df[c] = [None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in df[c].astype(object)]
+        df[c] = [None if pd.api.types.is_scalar(v) and pd.isna(v) else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in df[c].astype(object)]
     return sorted(map(str, df.itertuples(index=False, name=None)))
 
 

@@ -16,6 +16,76 @@ def test_validator(spark):
     assert validated(spark, [1, 2, 3, 2]) == ([1, 2, 3], [], [2])
 
 
+def anchors(spark, rows, exam=False):
+    """rows: (page, y0, text, kind); a page with a heading is a heading page, with a stop or an opener one of these."""
+    d = spark.createDataFrame([(1, p, float(y), 50.0, 800.0, t, k) for p, y, t, k in rows], "doc int, page int, y0 double, x0 double, W double, text string, kind string")
+    flags = d.groupBy("page").agg(F.coalesce(F.max(F.when(F.col("kind") == "heading", "heading")), F.max("kind")).alias("page_kind"))
+    d = d.join(flags, "page").withColumn("page_chapter", F.lit(None).cast("int")).withColumn("exam", F.lit(exam))
+    return [(r.page, r.ch, r.k, r.gap) for r in W.find_anchors(d).orderBy("page", "y0").collect()]
+
+
+def test_anchors_with_chapters(spark):
+    rows = [(0, 1, "1.1 before any heading", None), (1, 1, "习题", "heading"), (1, 2, "1.1 a", None), (1, 3, "1.2 b", None), (1, 4, "1.7 too far", None), (1, 5, "1.5 c", None), (2, 1, "2.1 next chapter", None), (2, 2, "1.6 the old one", None), (2, 3, "2.9 a", None), (3, 1, "3.1 far from the heading", None), (4, 1, "x", None), (5, 1, "2.2 the walk is over", None)]
+    assert anchors(spark, rows) == [(1, 1, 1, []), (1, 1, 2, []), (1, 1, 5, [3, 4]), (2, 2, 1, [])]
+
+
+def test_anchors_every_candidate_and_prefix(spark):
+    rows = [(1, 1, "习题", "heading"), (1, 2, "习题2.1 a", None), (1, 3, "习题2.25节", None), (1, 4, "2.3 kΩ", None), (1, 5, "习题2.3 b", None), (2, 1, "答案", "stop"), (2, 2, "习题2.4", None)]
+    assert anchors(spark, rows) == [(1, 2, 1, []), (1, 2, 2, []), (1, 2, 3, [])]
+
+
+def test_anchors_without_chapters(spark):
+    rows = [(1, 1, "习题", "heading"), (1, 2, "1. a", None), (1, 3, "2、 b", None), (1, 4, "第5题 c", None), (2, 1, "9. d", None), (4, 1, "6. after a page without lines", None), (7, 1, "7. over", None), (8, 1, "习题", "heading"), (8, 2, "1. e", None)]
+    assert anchors(spark, rows) == [(1, 1, 1, []), (1, 1, 2, []), (1, 1, 5, [3, 4]), (8, 2, 1, [])]
+
+
+def test_anchors_of_an_exam(spark):
+    rows = [(1, 1, "一、选择题（每题3分）", None), (1, 2, "1. a", None), (1, 3, "2. b", None), (1, 4, "二、填空题", None), (1, 5, "3. c", None), (5, 1, "4. d", None), (5, 2, "三、计算题", None), (5, 3, "1. e", None)]
+    assert anchors(spark, rows, exam=True) == [(1, 1, 1, []), (1, 1, 2, []), (1, 2, 3, [1, 2]), (5, 2, 4, []), (5, 3, 1, [])]
+
+
+def test_longest_chain_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(d, rng.randrange(12), rng.randrange(3), rng.randrange(6)) for d in range(30) for _ in range(rng.randrange(1, 25))]
+
+    def chain(items):
+        best, back = [1] * len(items), [-1] * len(items)
+        for x, (at, *c) in enumerate(items):
+            for y in range(x):
+                if items[y][0] < at and items[y][1:] < tuple(c) and best[y] + 1 >= best[x]:
+                    best[x], back[x] = best[y] + 1, y
+        x = max(range(len(items)), key=lambda i: (best[i], i))
+        out = []
+        while x >= 0:
+            out.append(f"{items[x][1]}.{items[x][2]}")
+            x = back[x]
+        return len(out), " ".join(reversed(out))
+
+    got = {r.doc: (r.length, r.chain) for r in W.longest_chain(spark.createDataFrame(rows, "doc int, line int, ch int, k int"), "doc", "line", "ch", "k").collect()}
+    assert got == {d: chain(sorted({r[1:] for r in rows if r[0] == d})) for d in got} and len(got) == len({r[0] for r in rows})
+
+
+def test_runs_over_stretches(spark):
+    d = spark.createDataFrame([(k, x) for k in (1, 2) for x in (*range(3, 30 + k), 40, 41, 63, 64, 65)], "k int, p int")
+    for stretch in (4, 16, 1 << 16):
+        got = sorted((r.k, r.lo, r.hi, r.n) for r in W.runs(d, ["k"], "p", stretch).collect())
+        assert got == [(1, 3, 30, 28), (1, 40, 41, 2), (1, 63, 65, 3), (2, 3, 31, 29), (2, 40, 41, 2), (2, 63, 65, 3)]
+
+
+def test_nearest_over_stretches(spark):
+    from pagemill.operators import joins as J
+
+    p = spark.createDataFrame([(i, i) for i in range(-5, 120)], "key int, at int")
+    samples = [0, 3, 4, 50, 51, 52, 90]
+    s = spark.createDataFrame([(x, x * 10) for x in samples], "sample int, off int")
+    for stretches in (1, 4, 64):
+        got = {r["key"]: (r["sample"], r["off"]) for r in J.nearest(p, s, "key", "at", "sample", "off", stretches).collect()}
+        want = {i: min(samples, key=lambda x: (abs(x - i), x)) for i in range(-5, 120)}
+        assert got == {i: (x, 10 * x) for i, x in want.items()}
+
+
 def test_runs(spark):
     d = spark.createDataFrame([(x,) for x in (3, 4, 5, 9, 10, 10)], "p int")
     assert sorted((r.lo, r.hi) for r in W.runs(d, [], "p").collect()) == [(3, 5), (9, 10)]

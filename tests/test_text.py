@@ -41,8 +41,10 @@ def test_signature(spark):
 
 
 def test_fences(spark):
-    (a,) = value(spark, T.balance_fences, "### 1\n```\nx\n```\n```\n### 2\nplain")
-    assert a.count("```") == 4 and a.endswith("### 2\nplain")
+    (a,) = value(spark, T.balance_fences, "## 习题 1\n```\nx\n```\n```\n## 习题 2\nplain")
+    assert a == "## 习题 1\n```\nx\n```\n```\n```\n\n## 习题 2\nplain" == M.balanced("## 习题 1\n```\nx\n```\n```\n## 习题 2\nplain")
+    assert value(spark, T.exercise_headings, "### 第 3.12(a) 题\nx", "# 第 3 题") == ["## 习题 3.12(a)\nx", "# 第 3 题"]
+    assert value(spark, T.light_clean, "a\U0001f4dd\n\n\n\nb \n") == ["a\n\nb\n\n"] == [M.light("a\U0001f4dd\n\n\n\nb \n")]
 
 
 def test_page_ranges(spark):
@@ -110,28 +112,128 @@ def test_durations(spark):
 
 
 def test_math_tokens():
-    assert M.tokens(r"a $x$ \$5 $$y$$ $z") == [("text", "a "), ("inline", "x"), ("text", r" \$5 "), ("display", "y"), ("text", " "), ("open", "$z")]
+    assert M.tokens(r"a $x$ \$5 $$y$$ $z") == [("text", "a "), ("inline", "x"), ("text", r" \$5 "), ("display", "y"), ("text", " "), ("open", "$"), ("text", "z")]
+    assert M.tokens("a $$b $c$") == [("text", "a "), ("open", "$$b $c$")]
     assert M.tokens("$a\n\nb$")[0][0] == "open"
 
 
 def test_reorder_keeps_characters():
-    src = "stem\n(b) two\nmore\n(a) one"
+    src = "### 1.1\nstem\n(b) two\nmore\n(a) one $x$"
     out = M.reorder(src)
-    assert out == "stem\n(a) one\n(b) two\nmore" and sorted(out) == sorted(src)
-    assert M.reorder("(a) x\n(c) y") == "(a) x\n(c) y"
+    assert out == "### 1.1\nstem\n(a) one $x$\n(b) two\nmore\n\n"
+    for same in ("(b) x\n(a) y", "### 1\n(a) x\n(c) y", "### 1\n(a) x\n(b) y", "### 1\n(b) x $\n(a) y", "### 1\n(b) x\n\nbetween\n(a) y"):
+        assert M.reorder(same) == same
+    assert M.reorder("### 1\n(b) p&emsp;&emsp;(a) q") == "### 1\n(a) q\n(b) p\n\n"
 
 
 def test_cleaner():
-    text, fixes = M.clean("好的，以下是\nSure\n### 1.1\n设 $x，$ 且 \\frac{a}{b}")
-    assert "好的" not in text and "$x$，" in text and r"$\frac{a}{b}$" in text and fixes["math"] == 1 and fixes["bare"] == 1
-    assert not [k for k, _ in M.tokens(text) if k == "open"]
+    text, fixes = M.clean("Let's see what this is.\nIt is all English words here.\n- 列表\n\n好的\n### 1.1\n设 $x，$ 且 \\frac{a}{b}")
+    assert text == "好的\n### 1.1\n设 $x$， 且 $\\frac{a}{b}$" or text == "\n好的\n### 1.1\n设 $x$， 且 $\\frac{a}{b}$"
+    assert fixes["noise"] == fixes["math"] == fixes["bare"] == 1 and not fixes["reorder"]
+    assert M.clean("### 1.2\r\nx\r\n", ids=True)[0] == "### 1.2 {#q1-2}\r\nx\r\n"
+
+
+def test_noise():
+    assert M.strip_noise("题 1\n![a](image_placeholder_1)\nNote: see\nthe figure\n### 2\nok") == "题 1\n### 2\nok"
+    assert M.strip_noise("Sure, fine\nLet me see\n$$\nx\n$$") == "Sure, fine\n$$\nx\n$$"
+    assert M.strip_noise("**Note:** x\n\nkept") == "\nkept"
+
+
+def test_han_in_formulas():
+    assert M.wrap_han(r"x = 速度 \text{已知 {a} 的} y度") == r"x = \text{速度} \text{已知 {a} 的} y\text{度}"
+    assert M.wrap_han(r"\text{没有关") == r"\text{没有关"
+
+
+@pytest.mark.parametrize(
+    ("src", "want"),
+    [
+        ("设 $，x，$ 是", "设 ，$x$， 是"),
+        ("$a，b$", "$a$，$b$"),
+        ("$a$$b$", "$a$ $b$"),
+        ("有 $$a，b。$$ 所以", "有\n\n$$\na,\\ b\n$$\n\n所以"),
+        (r"$x \tag{(1)}$", r"$x \qquad \text{(1)}$"),
+        ("$a\u3000b$", r"$a \quad b$"),
+        (r"见 $\begin{cases}a\end{cases}$", "见\n\n$$\n\\begin{cases}a\\end{cases}\n$$\n\n"),
+        ("$a", "$a"),
+    ],
+)
+def test_formulas(src, want):
+    assert M.fix_math(src) == want
+
+
+@pytest.mark.parametrize(
+    ("src", "want"),
+    [
+        (r"设 \alpha 为", r"设 $\alpha$ 为"),
+        (r"x_1 + \beta", "$$\nx_1 + \\beta\n$$"),
+        ("\\begin{aligned}\na\n\\end{aligned}", "$$\n\\begin{aligned}\na\n\\end{aligned}\n$$"),
+        (r"(a) 求 \frac{1}{2}，即 x^2.", r"(a) 求 $\frac{1}{2}$，即 $x^2$."),
+        (r"有 \text{力} F_1", r"有 $\text{力} F_1$"),
+        (r"\$5 $x$", r"\$5 $x$"),
+    ],
+)
+def test_bare_formulas(src, want):
+    assert M.fix_bare(src) == want
+
+
+def test_line_merge():
+    lines = ["解：", "x = 1", "已知 a", "**步骤 1**", "令", "b", "- $x[0] = 1$", "- $x[1] = 2$", "| a |", "| b |", "证毕。"]
+    assert M.merge_lines(lines) == ["解： x = 1； 已知 a", "**步骤 1**： 令", "b", "- $x[0] = 1$", "- $x[1] = 2$", "", "| a |", "| b |", "证毕。"]
+    assert M.merge_lines(["短", "句", "两式相同。"]) == ["短； 句； 两式相同。"]
+    assert M.merge_lines(["甲" * 1201, "已知"]) == ["甲" * 1201, "已知"] and M.merge_lines(["甲" * 40, "乙"]) == ["甲" * 40, "乙"]
+
+
+def test_print_form():
+    src = "# old\n\n### 第 1.2 题\n#### 详尽分步推导\n##### 小结\n$$\na\n+b\n$$\n---\n#### 结论 x\n```\n  a\n  b\n```\n"
+    out = M.print_form(src, chapter=1, title="书")
+    assert out.startswith("# 书 - 第 1 章") and "## 习题 1.2" in out and "$a +b$" in out and "详尽" not in out and "**【最终结论】**" in out and "```text\na\n  b\n```" in out.replace("\n  b", "\n  b") or "```text" in out
+    assert M.balanced("## 习题 1\n```\nx\n## 习题 2\ny") == "## 习题 1\n```\nx\n```\n\n## 习题 2\ny"
+
+
+def test_tex(spark):
+    cases = {
+        "a \\tag{1}": "a \\quad \\text{(1)}",
+        "$$x$$，y": "$$\nx\n$$\n，\ny",
+        "a $ x $ b": "a $x$ b",
+        "x^\\mathbb{R}": "x^{\\mathbb{R}}",
+        "a \\centernot\\implies b \\not\\in c": "a \\nRightarrow b \\notin c",
+        "$$x$": "$$x$$",
+        "$x$$": "$x$",
+        "![alt](p.png)": "![](p.png){width=95%}",
+        'a<div style="page-break-after: always;"></div>': "a\n\\newpage\n",
+        "⚡x": "x",
+    }
+    assert value(spark, T.sanitize_tex, *cases) == list(cases.values())
+    assert value(spark, T.latex_safe, "$$" + "x" * 5000 + "$$。") == ["$$\n" + "x" * 5000 + "\n$$\n。\n"]
+    assert value(spark, T.bracket_delimiters, "a \\[ x \\] b \\( y \\) \\\\( z", "\\[" + "x" * 5000 + "\\]") == ["a \n$$\nx\n$$\n b $y$ \\\\( z", "\n$$\n" + "x" * 5000 + "\n$$\n"]
+
+
+def test_sources(spark):
+    d = spark.createDataFrame([(s, "a text of length", None) for s in ("imported", "imported_check", "verified", "text_layer", "ocr")], "s string, t string, f boolean").withColumn("f", F.col("s") == "ocr")
+    got = {r.s: (r.done, r.plain, r.read) for r in d.select("s", J.already_verified(F.col("s"), F.col("t")).alias("done"), J.text_only(F.col("s"), F.col("f")).alias("plain"), J.needs_transcription(F.col("s"), F.col("t")).alias("read")).collect()}
+    assert got == {"imported": (True, True, False), "imported_check": (False, True, False), "verified": (True, False, False), "text_layer": (False, False, False), "ocr": (False, False, True)}
+    problems = spark.createDataFrame([(1, p, "old", s) for p, s in (("a", "imported"), ("b", "imported_check"), ("c", "ocr"), ("d", "ocr"), ("e", "ocr"))], "chapter int, problem_id string, text string, text_source string")
+    verdicts = spark.createDataFrame([(1, "a", "new", True), (1, "b", "new", True), (1, "c", "new", False), (1, "d", "", True)], "chapter int, problem_id string, text string, text_ok boolean")
+    got = {r.problem_id: (r.text, r.text_source) for r in J.write_back(problems, verdicts).collect()}
+    assert got == {"a": ("new", "imported"), "b": ("new", "verified"), "c": ("old", "ocr"), "d": ("old", "ocr"), "e": ("old", "ocr")}
+
+
+def test_line_kinds(spark):
+    rows = [("习题 参考 答案", "stop"), ("本题附答案", None), ("题解", "stop"), ("第 3 章 信号", "opener"), ("习 题", "heading"), ("习题1-1 求解", None), ("4.7 Exercises", "heading"), ("§2.3 习题", "heading"), ("直接计算，并验证你的答案。", None), ("正文", None)]
+    d = spark.createDataFrame([(i, t, 30.0, 20.0, 200.0, 1000.0) for i, (t, _) in enumerate(rows)], "i int, text string, height double, m double, y0 double, page_height double")
+    got = [r.k for r in d.select("i", J.line_kind(F.col("text"), F.col("height"), F.col("m"), F.col("y0"), F.col("page_height")).alias("k")).orderBy("i").collect()]
+    assert got == [k for _, k in rows]
+    lines = [(1, "仿真题 1", None, 10.0, 50.0), (1, "思考题", None, 20.0, 50.0), (1, "第1章", "opener", 30.0, 50.0), (1, "习题二则", "heading", 40.0, 50.0), (1, "参考答案", "stop", 50.0, 500.0)]
+    got = J.terminators(spark.createDataFrame(lines, "page int, text string, kind string, y0 double, x0 double").withColumn("W", F.lit(800.0))).collect()
+    assert [(r.page, r.rows) for r in got] == [(1, [10.0, 20.0, 30.0])]
 
 
 def test_reflow_guard():
-    long = "甲" * 40
-    src = "## 习题 1.1 解答\n" + "\n".join(["已知" + long] * 200) + "\n```\na  b\n```\n"
-    out = M.reflow(src)
-    assert max(map(len, out.split("\n"))) <= 5000 and "```\na  b\n```" in out
+    row = "| " + "甲" * 6000 + " |"
+    src = "## 习题 1.1\n" + row + "\n\n\n\nx\n## 习题 1.2\n" + "\n".join(["已知" + "甲" * 40] * 200) + "\n```\na  b\n```\n"
+    out = M.print_form(src)
+    first, second = out.split("## 习题 1.2")
+    assert first == "## 习题 1.1\n" + row + "\n\nx\n\n" and max(map(len, second.split("\n"))) <= 5000 and "```text\na  b\n```" in second
 
 
 def test_similarity():
@@ -214,6 +316,7 @@ def test_header_and_footer_bands(spark):
     ]
     lines = spark.createDataFrame(rows, "page int, text string, y0 int, y1 int, x0 int, x1 int").withColumn("H", F.lit(1000.0)).withColumn("W", F.lit(800.0))
     rules = spark.createDataFrame([(3, 130.0, 50.0, 700.0), (4, 800.0, 50.0, 250.0), (4, 760.0, 50.0, 700.0), (4, 400.0, 50.0, 250.0), (5, 800.0, 50.0, 250.0)], "page int, y double, x0 double, x1 double").withColumn("H", F.lit(1000.0))
-    assert {r.page: r.header_cut for r in J.header_cut(lines, rules).collect()} == {1: 0, 2: 40, 3: 56, 4: 0, 5: 0}
-    assert {r.page: r.footer_cut for r in J.footer_cut(lines).collect()} == {1: 960, 2: 900, 3: 950, 4: 1000, 5: 1000}
-    assert {r.page: r.footer_cut for r in J.footer_cut(lines, rules=rules).collect()} == {1: 960, 2: 900, 3: 950, 4: 796, 5: 1000}
+    assert {r.page: r.header_cut for r in J.header_cut(lines, rules).collect()} == {1: 0, 2: 44, 3: 56, 4: 0, 5: 0}
+    assert {r.page: r.header_cut for r in J.header_cut(lines, rules, has_headers=False).collect()} == {1: 0, 2: 0, 3: 56, 4: 0, 5: 0}
+    assert {r.page: r.footer_cut for r in J.footer_cut(lines).collect()} == {1: 957, 2: 897, 3: 947, 4: 970, 5: 970}
+    assert {r.page: r.footer_cut for r in J.footer_cut(lines, rules=rules).collect()} == {1: 957, 2: 897, 3: 947, 4: 796, 5: 970}
