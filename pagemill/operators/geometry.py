@@ -132,13 +132,18 @@ def page_per_problem(chapters: DataFrame) -> DataFrame:
     return pages.select("chapter", F.concat_ws(".", "chapter", (F.col("i") + 1).cast("string")).alias("problem_id"), "page")
 
 
-# Fixed values (G15): the literal exam layout, as section, number of questions.
-EXAM_SECTIONS = ((1, 5), (2, 5), (3, 6), (4, 4))
+# Fixed values (G15): the literal exam layout, as section, number, page, top and bottom in points.
+EXAM_LAYOUT = (
+    (1, 1, 1, 289.0, 370.0), (1, 2, 1, 370.0, 448.0), (1, 3, 1, 456.0, 526.0), (1, 4, 1, 526.0, 582.0), (1, 5, 1, 584.0, 638.0),
+    (2, 1, 2, 126.0, 156.0), (2, 2, 2, 156.0, 193.0), (2, 3, 2, 193.0, 227.0), (2, 4, 2, 227.0, 248.0), (2, 5, 2, 252.0, 272.0),
+    (3, 1, 2, 298.0, 335.0), (3, 2, 2, 502.0, 530.0), (3, 3, 3, 105.0, 144.0), (3, 4, 3, 366.0, 425.0), (3, 5, 4, 98.0, 140.0), (3, 6, 4, 353.0, 395.0),
+    (4, 1, 5, 126.0, 186.0), (4, 2, 5, 446.0, 470.0), (4, 3, 6, 97.0, 140.0), (4, 4, 6, 387.0, 448.0),
+)
 
 
 def exam_layout(spark) -> DataFrame:
-    """The fixed twenty questions as (section, number)."""
-    return spark.createDataFrame([(s, n) for s, k in EXAM_SECTIONS for n in range(1, k + 1)], "section int, number int")
+    """The fixed twenty questions as (section, number, page, y0, y1)."""
+    return spark.createDataFrame(EXAM_LAYOUT, "section int, number int, page int, y0 double, y1 double")
 
 
 def gate(best: DataFrame, score: str = "score", passing: int = 95) -> DataFrame:
@@ -147,10 +152,15 @@ def gate(best: DataFrame, score: str = "score", passing: int = 95) -> DataFrame:
     return best.withColumn("status", F.when(passed, "passed").when(F.col(score).isNotNull(), "needs_review").otherwise("unreviewed")).withColumn("final_mode", F.when(passed, "draft_passed").otherwise("rewritten"))
 
 
-def stage_budgets(spark) -> DataFrame:
-    """Thinking budgets per stage (fixed values)."""
-    values = {"transcribe": 2048, "verify": 4096, "crop_check": 4096, "compact": 1024, "review": 6000, "draft": 8000, "draft_easy": 4000, "draft_retry": 12000, "final": 12000, "locate": 4096}
-    return spark.createDataFrame(list(values.items()), "stage string, budget int")
+# Fixed values (X3): thinking budgets per stage, and stages that get images in high resolution.
+BUDGETS = {"transcribe": 2048, "verify": 4096, "crop_check": 4096, "compact": 1024, "review": 6000, "draft": 8000, "draft_easy": 4000, "draft_retry": 12000, "final": 12000, "locate": 4096}
+HIGH_RESOLUTION = ("transcribe", "verify", "crop_check", "crop_fix", "locate")
+
+
+def stage_settings(stages: DataFrame, stage: str = "stage", budget: int = 8000, resolution: str = "MEDIUM") -> DataFrame:
+    """Each stage's thinking budget and the resolution of its images; others get the defaults."""
+    budgets = F.create_map(*[F.lit(x) for kv in BUDGETS.items() for x in kv])
+    return stages.withColumn("budget", F.coalesce(F.try_element_at(budgets, F.col(stage)), F.lit(budget))).withColumn("resolution", F.when(F.col(stage).isin(*HIGH_RESOLUTION), "HIGH").otherwise(resolution))
 
 
 def solve(problems: DataFrame, replies: DataFrame, passing: int = 95, rounds: int = 3) -> DataFrame:
@@ -226,6 +236,21 @@ def natural_order(pid: str = "problem_id") -> list[Column]:
     return [part(1), part(2)]
 
 
+def line_order() -> list[Column]:
+    """Lines of a page from the top, then from the left."""
+    return [F.col("y0"), F.col("x0")]
+
+
+def anchor_order() -> list[Column]:
+    """Anchors by page, then from the top."""
+    return [F.col("page"), F.col("y0")]
+
+
+def chapter_order(chapter: str = "chapter") -> list[Column]:
+    """Chapters by their number, those without one last."""
+    return [F.col(chapter).try_cast("int").asc_nulls_last(), F.col(chapter)]
+
+
 def float_order(pid: str = "problem_id", pos: str = "pos") -> list[Column]:
     """O2: as a decimal number, in which 1.10 equals 1.1; for exams of old only."""
     return [F.col(pid).cast("double"), F.col(pos)]

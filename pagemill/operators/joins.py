@@ -117,10 +117,16 @@ def nearest(points: DataFrame, samples: DataFrame, key: str, at: str, sample: st
     return found.select(F.col("k").alias(key), F.col("x").alias(at), F.when(use_lo, F.col("lo.s")).otherwise(F.col("hi.s")).alias(sample), F.when(use_lo, F.col("lo.v")).otherwise(F.col("hi.v")).alias(value))
 
 
-def lines_in_segments(lines: DataFrame, segments: DataFrame, page: str, centre: str, top: str, bottom: str, slack: float = 4) -> DataFrame:
-    """Lines whose centre lies inside a segment of their page, give or take ``slack``."""
-    s = segments.withColumnRenamed(page, "_p")
-    return lines.join(s, (F.col(page) == F.col("_p")) & (F.col(centre) >= F.col(top) - slack) & (F.col(centre) <= F.col(bottom) + slack)).drop("_p")
+def lines_in_segments(lines: DataFrame, segments: DataFrame, page: str, centre: str, top: str, bottom: str, slack: float = 4, stripe: int = 64) -> DataFrame:
+    """Lines whose centre lies inside a segment of their page, give or take ``slack``.
+
+    Pages are cut into stripes, and a segment meets the lines of its own stripes only; a line is in one stripe, so it
+    meets a segment once.
+    """
+    at = lambda y: F.floor(y / stripe)
+    s = segments.withColumnRenamed(page, "_p").withColumn("_s", F.explode(F.sequence(at(F.col(top) - slack), at(F.col(bottom) + slack))))
+    inside = (F.col(centre) >= F.col(top) - slack) & (F.col(centre) <= F.col(bottom) + slack)
+    return lines.withColumn("_l", at(F.col(centre))).join(s, (F.col(page) == F.col("_p")) & (F.col("_l") == F.col("_s")) & inside).drop("_p", "_s", "_l")
 
 
 def runs_with_heading(runs: DataFrame, headings: DataFrame, key: str, page: str) -> DataFrame:

@@ -130,6 +130,17 @@ def gap_regions(anchors: DataFrame, chapter: str, order: list[str], index: str)
     return found.select(chapter, F.col("prev").alias("after"), F.col(index).alias("before"), F.sequence(F.col("prev") + 1, F.col(index) - 1).alias("missing"))
 
 
+def recover_gaps(anchors: DataFrame, reread: DataFrame, chapter: str, order: list[str], index: str) -> DataFrame:
+    """Anchors with those numbers that reading again has found (``reread``, columns alike) where they were missing:
+    between the neighbours of one chapter and among the numbers left out there. Of a number found twice the first stays."""
+    w = Window.partitionBy(chapter).orderBy(*order)
+    at = F.struct(*order)
+    gaps = anchors.select(chapter, F.lag(index).over(w).alias("_a"), F.col(index).alias("_b"), F.lag(at).over(w).alias("_from"), at.alias("_to")).filter("_b > _a + 1")
+    found = reread.join(gaps, chapter).filter((F.col(index) > F.col("_a")) & (F.col(index) < F.col("_b")) & (at > F.col("_from")) & (at < F.col("_to")))
+    first = found.withColumn("_r", F.row_number().over(Window.partitionBy(chapter, "_from", index).orderBy(*order))).filter("_r = 1")
+    return anchors.withColumn("recovered", F.lit(False)).unionByName(first.select(*anchors.columns).withColumn("recovered", F.lit(True)))
+
+
 def cluster_rows(items: DataFrame, key: str, position: str, order: list[str], tolerance: float) -> DataFrame:
     """Items of a key in rows; an item joins the current row while it is within ``tolerance`` of the row's first
     item, so rows do not chain. (key, row_id, start, n)"""

@@ -155,12 +155,12 @@ SELECT chapter, CAST(seg AS BIGINT) AS seg, n FROM r WHERE r = 1
 
 
 def page_runs(spark: SparkSession, sf: str) -> DataFrame:
-    days = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("day"))
+    days = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("day"))
     return W.runs(days, ["key"], "day")
 
 
 PAGE_RUNS = """
-WITH d AS (SELECT DISTINCT o_custkey AS key, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS v FROM orders WHERE o_orderpriority = '1-URGENT'),
+WITH d AS (SELECT DISTINCT o_custkey AS key, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS v FROM orders),
 g AS (SELECT key, v, v - row_number() OVER (PARTITION BY key ORDER BY v) AS g FROM d)
 SELECT key, min(v) AS lo, max(v) AS hi, count(*) AS n FROM g GROUP BY key, g
 """

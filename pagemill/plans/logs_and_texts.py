@@ -92,13 +92,13 @@ FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) WHERE r = 1
 
 
 def header_vote(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("doc_id % 3 = 0").select("source", (F.length("text") % 2 == 0).alias("vote"))
+    d = table(spark, sf, "documents").select("source", (F.length("text") % 2 == 0).alias("vote"))
     return A.header_vote(d, ["source"], "vote")
 
 
 HEADER_VOTE = """
 SELECT source, count(vote) AS votes, count(vote) < 4 OR count(*) FILTER (vote) >= 0.5 * count(vote) AS has_header
-FROM (SELECT source, length(text) % 2 = 0 AS vote FROM documents WHERE doc_id % 3 = 0) GROUP BY source
+FROM (SELECT source, length(text) % 2 = 0 AS vote FROM documents) GROUP BY source
 """
 
 
@@ -180,15 +180,16 @@ SELECT user_id, ts AS opened_at FROM (SELECT *, row_number() OVER (PARTITION BY
 
 def lines_in_segment(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("yc", F.col("pos") * 10)
-    segments = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(i * 45).alias("top"), F.lit(i * 45 + 30).alias("bottom")) for i in range(3)])).alias("s")).select("doc_id", "s.*")
+    last = F.floor((F.size(F.split("text", "\n")) - 1) * 10 / 45).cast("int")
+    segments = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("seg")).withColumn("top", F.col("seg") * 45).withColumn("bottom", F.col("seg") * 45 + 30)
     found = J.lines_in_segments(lines, segments, "doc_id", "yc", "top", "bottom")
     return A.ordered_text(found, ["doc_id", "seg"], ["pos"], "text", "\n").select("doc_id", "seg", F.md5("text").alias("text"))
 
 
 LINES_IN_SEGMENT = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-s AS (SELECT unnest([0, 1, 2]) AS seg)
-SELECT doc_id, seg, md5(string_agg(t, chr(10) ORDER BY pos)) AS text FROM l JOIN s ON pos * 10 BETWEEN seg * 45 - 4 AND seg * 45 + 34 WHERE t <> '' GROUP BY 1, 2
+s AS (SELECT doc_id AS d, unnest(generate_series(0, (len(string_split(text, chr(10))) - 1) * 10 // 45)) AS seg FROM documents)
+SELECT doc_id, CAST(seg AS INTEGER) AS seg, md5(string_agg(t, chr(10) ORDER BY pos)) AS text FROM l JOIN s ON d = doc_id AND pos * 10 BETWEEN seg * 45 - 4 AND seg * 45 + 34 WHERE t <> '' GROUP BY 1, 2
 """
 
 

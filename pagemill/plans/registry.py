@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes_and_sets, items, logs_and_texts
+from . import boxes_and_sets, items, logs_and_texts, table_rules, text_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (items, logs_and_texts, boxes_and_sets):
+for _module in (items, logs_and_texts, boxes_and_sets, text_rules, table_rules):
     for _name, _f in vars(_module).items():
         if callable(_f) and not _name.startswith("_") and getattr(_f, "__module__", "") == _module.__name__:
             QUERIES[_name] = _f

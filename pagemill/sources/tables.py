@@ -34,15 +34,30 @@ def problems(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROBLEM).json(path)
 
 
+def parse_problems(lines: DataFrame) -> DataFrame:
+    """S1 over JSON lines (value) that are a table already; a line that is no JSON object gives a row of nulls."""
+    return lines.select(F.from_json("value", PROBLEM).alias("p")).select("p.*")
+
+
 def slots(spark: SparkSession, path: str) -> DataFrame:
     """Solved rows; files that are not JSON are left out."""
-    rows = spark.read.schema(SLOT + ", _corrupt string").option("mode", "PERMISSIVE").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    return parse_slots(spark.read.option("wholetext", True).text(path))
+
+
+def parse_slots(files: DataFrame) -> DataFrame:
+    """S2 over whole files (value)."""
+    parsed = files.select(F.from_json("value", SLOT + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("s")).select("s.*")
+    return parsed.filter("_corrupt is null").drop("_corrupt")
 
 
 def usage_log(spark: SparkSession, path: str) -> DataFrame:
-    """S3: an append-only JSON-lines log; lines that do not parse are skipped, a total of 0 is the sum of its parts."""
-    parsed = spark.read.text(path).select(F.from_json("value", USAGE, {"mode": "PERMISSIVE"}).alias("u"), "value").filter(F.col("value").rlike(r"^\s*\{.*\}\s*$")).select("u.*")
+    """S3: an append-only JSON-lines log."""
+    return parse_usage(spark.read.text(path))
+
+
+def parse_usage(lines: DataFrame) -> DataFrame:
+    """S3 over lines (value): those that do not parse are skipped, a total of 0 is the sum of its parts."""
+    parsed = lines.select(F.from_json("value", USAGE, {"mode": "PERMISSIVE"}).alias("u"), "value").filter(F.col("value").rlike(r"^\s*\{.*\}\s*$")).select("u.*")
     whole = F.coalesce(F.col("in"), F.lit(0)) + F.coalesce("out", F.lit(0)) + F.coalesce("think", F.lit(0))
     return parsed.filter(F.coalesce("in", "out", "think", "total").isNotNull()).withColumn("total", F.when(F.coalesce("total", F.lit(0)) == 0, whole).otherwise(F.col("total")))
 
@@ -133,10 +148,13 @@ def inbox(spark: SparkSession, path: str, schema: str, archive: str | None = Non
 
 def profile(spark: SparkSession, path: str) -> DataFrame:
     """Project settings with defaults for what is missing."""
-    raw = spark.read.schema(PROFILE).option("multiLine", True).json(path)
-    return raw.select(
-        F.coalesce("book.id", F.lit("")).alias("id"), F.coalesce("book.title", F.lit("")).alias("title"), F.coalesce("book.doc_type", F.lit("exam")).alias("doc_type"), F.coalesce("book.subject", F.lit("")).alias("subject"), F.coalesce("book.dpi", F.lit(200)).alias("dpi"), "chapters"
-    )
+    return with_defaults(spark.read.schema(PROFILE).option("multiLine", True).json(path))
+
+
+def with_defaults(raw: DataFrame) -> DataFrame:
+    """S16 over settings (book, chapters) that are read already."""
+    put = {"id": "", "title": "", "doc_type": "exam", "subject": "", "dpi": 200}
+    return raw.select(*[F.coalesce(f"book.{c}", F.lit(v)).alias(c) for c, v in put.items()], "chapters")
 
 
 def newest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
