@@ -45,6 +45,17 @@ def with_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where ``df`` has a column of that name, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables that cut the lineage of one operator's run; each is written once and read again.
 
@@ -92,30 +103,41 @@ def tidied(run):
     return wrapped
 
 
-def small(spark: SparkSession, n_bytes: int, limit: int = 64 << 20) -> bool:
-    """Whether a side of that measured size may be broadcast."""
+def small(n_bytes: int, limit: int = 32 << 20) -> bool:
+    """Whether a side of that measured size may be broadcast; what is built of it takes about twice as much."""
     return n_bytes <= limit
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[pa.Table]:
     """Consecutive rows that agree in ``keys``; runs longer than ``most`` come in parts of that length."""
-    left: pa.Table | None = None
+    held: list[pa.Table] = []
+    n, last = 0, None
+
+    def whole() -> Iterator[pa.Table]:
+        if held:
+            run = pa.concat_tables(held)
+            for at in range(0, n, most or n):
+                yield run.slice(at, most or n)
+
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        left = t if left is None else pa.concat_tables([left, t])
-        if not len(left):
+        if not batch.num_rows:
             continue
-        change = np.zeros(len(left) - 1, bool)
+        t = pa.Table.from_batches([batch])
+        change = np.zeros(len(t) - 1, bool)
         for k in keys:
-            x = left[k].to_numpy()
+            x = t[k].to_numpy()
             change |= x[1:] != x[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(t)]
         for s, e in zip(cuts, cuts[1:], strict=False):
-            for at in range(s, e, most or e - s):
-                yield left.slice(at, min(most or e - s, e - at))
-        left = left.slice(cuts[-1])
-        while most and len(left) > most:
-            yield left.slice(0, most)
-            left = left.slice(most)
-    if left is not None and len(left):
-        yield left
+            if s or [t[k][0].as_py() for k in keys] != last:
+                yield from whole()
+                held, n = [], 0
+            held.append(t.slice(s, e - s))
+            n += e - s
+            if most and n >= most:
+                run = pa.concat_tables(held)
+                for at in range(0, n - n % most, most):
+                    yield run.slice(at, most)
+                held, n = [run.slice(n - n % most)] if n % most else [], n % most
+        last = [t[k][len(t) - 1].as_py() for k in keys]
+    yield from whole()

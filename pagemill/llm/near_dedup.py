@@ -6,8 +6,9 @@ are compared on their full sets.
 
 Documents with equal sets are one class from the start. A bucket's classes are first compared with its smallest class
 only, which joins nearly all of a large group by as many comparisons as it has members. Buckets that still hold
-classes of different components then compare these within one place and pass on no more pairs than join components.
-So no link between classes that share a bucket is lost, and no table ever holds the pairs of a group.
+classes of different components then compare these with all of theirs, block by block, and each pair of blocks passes
+on fewer links than there are components in it. So no link between classes that share a bucket is lost, and no table
+ever holds the pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from ._common import Scratch, runs, small, with_code
+from ._common import Scratch, runs, small, tidied, unused, with_code
 from .graph import components
 from .shingles import WORDS, jaccard_at_least, shingle_sets
 
 #: 120 permutations give 240 values, 48 bands of 5. A pair of similarity 0.75 shares no bucket with odds of 3e-6.
 PERMUTATIONS, ROWS = 120, 5
 PERCENT = 75
-#: Parts that the comparisons with one document are dealt to.
-SALTS = 64
+#: Comparisons with one document that stay together; more are dealt to parts.
+TOGETHER = 256
+#: Sets on one side of a pair of blocks, and elements of them.
+SIDE, ELEMENTS = 2048, 1 << 20
 #: Sets hashed at a time; bounds the arrays.
 SLAB = 1 << 20
 
@@ -93,7 +96,7 @@ def _described(rows: DataFrame) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), _signed(keys.ravel()))
                 yield pa.record_batch([part.column(0), pa.array(n), _signed(f1), _signed(f2), bands], names=["id", "n", "f1", "f2", "bands"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, bands array<long>")
+    return rows.mapInArrow(tidied(run), f"id {rows.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, bands array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -101,8 +104,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
 
     Comparisons with a are dealt to parts; each part gets a's text once and the others' one after the other.
     """
-    pairs = scratch.save(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), f"{name}_pairs")
-    if small(pairs.sparkSession, 24 * pairs.count()):
+    pairs = scratch.save(pairs, f"{name}_asked")
+    often = scratch.save(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TOGETHER).select("a", F.ceil(F.col("n") / TOGETHER).alias("parts")), f"{name}_often")
+    if small(24 * often.count()):
+        often = F.broadcast(often)  # size just checked
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    pairs = scratch.save(pairs.join(often, "a", "left").select("a", "b", salt.alias("salt")), f"{name}_pairs")
+    if small(24 * pairs.count()):
         pairs = F.broadcast(pairs)  # size just checked
     right = pairs.join(texts, pairs["b"] == texts["cid"]).select("a", "salt", "b", "t")
     heads = pairs.select("a", "salt").distinct()
@@ -125,81 +133,96 @@ def _linked(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) ->
                     hit_b.append(b)
             yield pa.record_batch([pa.array(hit_a, pa.int64()), pa.array(hit_b, pa.int64())], names=["a", "b"])
 
-    return scratch.save(dealt.mapInArrow(run, "a long, b long"), f"{name}_links")
+    return scratch.save(dealt.mapInArrow(tidied(run), "a long, b long"), f"{name}_links")
 
 
-def _proposed(members: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
-    """Pairs (a, b) that would join the components of every bucket that holds more than one.
+def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the components of every bucket that holds more than one.
 
-    A bucket's sets meet in one place as 32-bit hashes, under which two sets seem as similar as they are or a little
-    more. Members outside of the bucket's largest component are compared with all members by one matrix product, and
-    of the pairs that seem similar enough only those that join two components are passed on: fewer than there are
-    components. Another turn uses other hashes.
+    Members outside of a bucket's largest component are compared with all members, as blocks of the former against
+    blocks of the latter, each pair of blocks in a place of its own. Full sets are compared there, and of the links found
+    those are passed on that join two components which the ones before did not.
     """
-    marked = members.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    marked = members.select("key", "cid", "n").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
     mixed = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    marked = scratch.save(marked.join(mixed, "key"), f"mixed{turn}")
-    factor = wordhash.mix(np.array([turn], np.uint64)) | np.uint64(1)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marked = scratch.save(marked.join(mixed, "key"), "mixed")
+    held = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"))
+    largest = F.max(F.struct("sets", "elements", "label"))
+    blocks = lambda sets, elements: F.greatest(F.lit(1), F.ceil(sets / SIDE), F.ceil(elements / ELEMENTS)).cast("int")
+    sizes = held.groupBy("key").agg(largest.alias("top"), F.sum("sets").alias("sets"), F.sum("elements").alias("elements"))
+    sizes = sizes.select("key", F.col("top.label").alias("main"), blocks(F.col("sets") - F.col("top.sets"), F.col("elements") - F.col("top.elements")).alias("rows"), blocks(F.col("sets"), F.col("elements")).alias("cols"))
+    placed = marked.join(scratch.save(sizes, "mixed_sizes"), "key")
+    outer = F.col("label") != F.col("main")
+    mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    # side 0 is a row, 1 a column, 2 both
+    cells = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_col = F.transform(cells("rows"), lambda r: F.struct(r.alias("row"), mine("cols").alias("col"), F.when(outer & (r == mine("rows")), 2).otherwise(1).alias("side")))
+    as_row = F.transform(F.filter(cells("cols"), lambda c: outer & (c != mine("cols"))), lambda c: F.struct(mine("rows").alias("row"), c.alias("col"), F.lit(0).alias("side")))
+    dealt = placed.select("key", "cid", "label", F.explode(F.concat(as_col, as_row)).alias("at")).select("key", "at.*", "cid", "label")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            elements, sizes = shingle_sets(batch.column(1).to_pylist())
-            short = ((elements * factor) >> np.uint64(32)).astype(np.uint32)
-            ends = np.cumsum(sizes)
-            yield pa.record_batch([batch.column(0), pa.array([short[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["cid", "s"])
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                elements, sizes = shingle_sets(part.column(1).to_pylist())
+                ends = np.cumsum(sizes)
+                yield pa.record_batch([part.column(0), pa.array([elements[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["cid", "s"])
 
     needed = texts.join(marked.select("cid").distinct(), "cid", "left_semi").select("cid", "t")
-    sets = scratch.save(needed.mapInArrow(hashed, "cid long, s binary"), f"sets{turn}")
+    sets = scratch.save(needed.mapInArrow(tidied(full), "cid long, s binary"), "mixed_sets")
 
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in runs(batches, ["key"]):
-            a, b = _joining(bucket["cid"].to_numpy(), bucket["label"].to_numpy(), [np.frombuffer(x, np.uint32) for x in bucket["s"].to_pylist()])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in runs(batches, ["key", "row", "col"]):
+            a, b = joining(cell["cid"].to_numpy(), cell["label"].to_numpy(), cell["side"].to_numpy(), [np.frombuffer(x, np.uint64) for x in cell["s"].to_pylist()])
             if a:
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = marked.join(sets, "cid").select("key", "cid", "label", "s").repartition("key").sortWithinPartitions("key", "cid")
-    return scratch.save(dealt.mapInArrow(plan, "a long, b long").distinct(), f"plan{turn}")
+    work = dealt.join(sets, "cid").select("key", "row", "col", "side", "cid", "label", "s").repartition("key", "row", "col").sortWithinPartitions("key", "row", "col")
+    return scratch.save(work.mapInArrow(tidied(compare), "a long, b long").distinct(), "across")
+
 
+#: Cells of an incidence matrix that are held at a time.
+CELLS = 4 << 20
 
-#: Cells of the incidence matrix of a bucket that are held at a time.
-CELLS = 8 << 20
 
+def joining(ids: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Pairs of a row and a column whose sets are similar enough and that join two components, the smaller id first.
 
-def _joining(ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Pairs of one bucket that seem similar and join two of its components, the smaller id first."""
+    side: 0 row, 1 column, 2 both; sets are sorted and distinct."""
+    rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     n = np.array([len(x) for x in sets])
-    names, counts = np.unique(label, return_counts=True)
-    outer = np.flatnonzero(label != names[counts.argmax()])
+    if not len(rows) or not len(cols):
+        return [], []
     distinct, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), n)
+    of = np.repeat(np.arange(len(sets)), n)
     shared = often > 1  # what only one member has is in no intersection
-    column = np.cumsum(shared) - 1
-    row, at = row[shared[at]], column[at[shared[at]]]
+    number = np.cumsum(shared) - 1
+    of, at = of[shared[at]], number[at[shared[at]]]
     n_shared = int(shared.sum())
     width = max(1, min(n_shared, CELLS // len(sets)))
-    both = np.zeros((len(outer), len(sets)), np.float32)
+    both = np.zeros((len(rows), len(cols)), np.float32)
     order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
+    of, at = of[order], at[order]
     for lo in range(0, n_shared, width):
         s, e = np.searchsorted(at, [lo, lo + width])
         m = np.zeros((len(sets), width), np.float32)
-        m[row[s:e], at[s:e] - lo] = 1
-        both += m[outer] @ m.T
-    hit = (100 * both >= PERCENT * (n[outer, None] + n[None, :] - both)) & (label[outer, None] != label[None, :])
-    parent = {x: x for x in names.tolist()}
+        m[of[s:e], at[s:e] - lo] = 1
+        both += m[rows] @ m[cols].T
+    hit = (100 * both.astype(np.int64) >= PERCENT * (n[rows, None] + n[None, cols] - both.astype(np.int64))) & (label[rows, None] != label[None, cols])
+    parent: dict[int, int] = {}
 
     def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
         return x
 
     a, b = [], []
     for i, j in zip(*np.nonzero(hit), strict=True):
-        x, y = root(int(label[outer[i]])), root(int(label[j]))
+        x, y = root(int(label[rows[i]])), root(int(label[cols[j]]))
         if x != y:
             parent[x] = y
-            p, q = int(ids[outer[i]]), int(ids[j])
+            p, q = int(ids[rows[i]]), int(ids[cols[j]])
             a.append(min(p, q))
             b.append(max(p, q))
     return a, b
@@ -230,7 +253,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     wanted = members.select("cid").distinct().join(classes.select("cid", "rep", "n", "f1", "f2"), "cid")
     wanted = scratch.save(wanted, "wanted")
-    if small(spark, 48 * wanted.count()):
+    if small(48 * wanted.count()):
         wanted = F.broadcast(wanted)  # size just checked
     found = rows.join(wanted, rows["id"].eqNullSafe(F.col("rep")))
     texts = scratch.save(_own_text(found.select("cid", "n", "f1", "f2", "t")), "texts")
@@ -243,18 +266,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of = lambda c, x: labels.select(F.col("node").alias(c), F.col("label").alias(x))
     apart = stars.select("a", "b").join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
     links = links.unionByName(_linked(apart.select("a", "b").join(first, ["a", "b"], "left_anti"), texts, scratch, "second"))
-    turn = 0
-    while True:
-        turn += 1
-        labels = components(links, scratch, f"labels{turn}")
-        proposed = _proposed(members, labels, texts, scratch, turn)
-        n_proposed = proposed.count()
-        if not n_proposed:
-            break
-        new = _linked(proposed, texts, scratch, f"proposed{turn}")
-        links = links.unionByName(new)
-        if new.count() == n_proposed:  # every bucket's plan held, so nothing is left between its components
-            break
+    links = links.unionByName(_across(members, components(links, scratch, "second_labels"), texts, scratch))
     labels = components(links, scratch, "labels")
     linked = classes.select("cid", "n", "f1", "f2", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     linked = scratch.save(linked, "linked")
@@ -278,11 +290,13 @@ def _own_text(found: DataFrame) -> DataFrame:
             same = filled & (sizes == batch.column(1).to_numpy()) & (f1 == batch.column(2).to_numpy())
             yield pa.record_batch([batch.column(0), batch.column(4)], names=["cid", "t"]).filter(pa.array(same))
 
-    return found.mapInArrow(run, "cid long, t string").dropDuplicates(["cid"])
+    return found.mapInArrow(tidied(run), "cid long, t string").dropDuplicates(["cid"])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a near-duplicate group keeps, columns unchanged: the one with the smallest id of each."""
-    own = "__kept_id"
-    kept = near_dedup(docs, id_col, text_col).filter(F.coalesce("kept", F.lit(True))).select(F.col(id_col).alias(own)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[own]), "left_semi")
+    """The rows of ``docs`` that a near-duplicate group keeps, columns unchanged, whatever their names: all those with the
+    smallest id of each group. Rows without words are a group of their own each. A null id is never the smallest, but
+    stays where no other is there. An empty table gives an empty result."""
+    (own,) = unused(docs, "_kept_id")
+    kept = near_dedup(docs, id_col, text_col).filter(F.coalesce("kept", F.col("component_id").isNull())).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")

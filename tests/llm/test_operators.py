@@ -270,10 +270,14 @@ def test_op10_against_all_pairs(spark, sf, docs):
         assert r.n_shingles == len(sets[r.doc_id]) and r.component_id == root(r.doc_id) and r.kept == (r.doc_id == r.component_id)
 
 
-def test_op10_a_large_group_of_variants(spark):
-    """Variants that are often less similar than asked, so that many buckets hold several components."""
+@pytest.mark.parametrize("side", [2048, 7])
+def test_op10_a_large_group_of_variants(spark, monkeypatch, side):
+    """Variants that are often less similar than asked, so that many buckets hold several components; in one block or many."""
+    from pagemill.llm import near_dedup as N
     from pagemill.llm.near_dedup import near_dedup
 
+    monkeypatch.setattr(N, "SIDE", side)
+    monkeypatch.setattr(N, "TOGETHER", side)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -293,6 +297,55 @@ def test_op10_a_large_group_of_variants(spark):
     assert [got[i] for i in range(300)] == comp
 
 
+def test_op10_joining_is_exact():
+    """Sets at the limit count as they are, also where they agree in the upper half of some elements."""
+    from pagemill.llm.near_dedup import joining
+
+    base = np.arange(1, 102, dtype=np.uint64) << np.uint64(33)
+    twin = base[0] + np.uint64(1)  # another element with the same upper half
+    a, b = np.sort(np.append(base[:88], twin)), np.sort(np.append(base[12:100], twin))
+    at_limit = (np.sort(np.append(base[:75], twin)), np.sort(np.append(base[:100], twin)))  # 76 of 101
+    below = (base[:74], base[:99])  # 74 of 99
+    for (x, y), want in ((at_limit, ([3], [5])), (below, ([], [])), ((a, b), ([3], [5]) if 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b)) else ([], []))):
+        assert joining(np.array([5, 3]), np.array([1, 2]), np.array([2, 1]), [x, y]) == want
+    assert joining(np.array([5, 3]), np.array([1, 1]), np.array([2, 1]), [base, base]) == ([], [])
+
+
+def test_op5_a_bridge_between_far_clusters(spark):
+    """Two clusters 40 degrees apart, each with one vector 8 degrees towards the other, which link."""
+    from pagemill.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(11)
+    e = np.eye(48)
+    turn = lambda d: math.cos(math.radians(d)) * e[0] + math.sin(math.radians(d)) * e[1]
+    x = np.concatenate([turn(0) + rng.normal(0, 0.003, (300, 48)), turn(40) + rng.normal(0, 0.003, (300, 48)), [turn(8), turn(32)]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    link = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    assert link[600, 601] and not link[:300, 300:600].any()
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("vec_id").loc[range(len(x))]
+    assert got.n_links.tolist() == link.sum(1).tolist() and (got.component_id == 0).all()
+
+
+def test_runs_of_batches():
+    import pyarrow as pa
+
+    from pagemill.llm._common import runs
+
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 9, 200))
+    for most in (None, 1, 4, 300):
+        batches, at = [], 0
+        while at < 200:
+            n = int(rng.integers(0, 30))
+            batches.append(pa.record_batch([pa.array(keys[at : at + n]), pa.array(np.arange(200)[at : at + n])], names=["k", "v"]))
+            at += n
+        got = [(t["k"].to_pylist(), t["v"].to_pylist()) for t in runs(iter(batches), ["k"], most)]
+        assert [v for _, x in got for v in x] == list(range(200)) and all(len(set(k)) == 1 for k, _ in got)
+        sizes = [(int(k), int((keys == k).sum())) for k in np.unique(keys)]
+        want = [(k, min(most or n, n - i)) for k, n in sizes for i in range(0, n, most or n)]
+        assert [(k[0], len(k)) for k, _ in got] == want
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
