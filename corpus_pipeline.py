@@ -11,27 +11,28 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Null texts count as empty; without labels all stay; an empty table
+    stays empty. Columns beyond those of documents are dropped here, so no later stage meets them."""
     return quality.drop_rejected(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id stays."""
+    """Of equal texts (A-Z lower-cased, null as empty), the document with the largest doc_id stays, one row of it."""
     return exact_dedup.drop_exact_duplicates(docs).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates, the document with the smallest doc_id stays; documents without words all do."""
     return near_dedup.keep_first(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; those without words are not taken, a null source is one of its own."""
     return mixing.apply_mix(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens, with their ids."""
+    """Pieces of sequences of at most 2048 tokens, with their ids; rows that repeat are packed each."""
     return packing.pack(docs, with_ids=True)
 
 

@@ -41,6 +41,35 @@ def side_figures(lines: DataFrame, width: Column) -> DataFrame:
     return runs.groupBy("page", "run").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("x1").alias("x_free"), F.count(F.lit(1)).alias("n")).filter("n >= 3").drop("run")
 
 
+def split_side_figures(segments: DataFrame, figures: DataFrame, least: int = 8) -> DataFrame:
+    """Segments (pid, page, y0, y1) of full width, split where a figure (page, f0, f1, xf, left, right, owner) stands
+    beside the text of two problems or more: (pid, page, y0, y1, x0, x1, flag).
+
+    Beside the figure only what is left of it remains; above and below the whole width does, if more than ``least`` high.
+    The figure goes to its owner, whether or not that has a segment there. x0 and x1 are null for the whole width. Of
+    several figures beside a segment the first counts.
+    """
+    fig = figures.select("page", "f0", "f1", "xf", "left", "right", "owner")
+    met = segments.join(fig, "page").filter("y0 < f1 and y1 > f0")
+    crossing = met.groupBy("page", "f0").agg(F.count_distinct("pid").alias("n"), F.bool_or(F.col("pid") == F.col("owner")).alias("own")).filter("n >= 2")
+    key = ["pid", "page", "y0", "y1"]
+    first = met.join(crossing, ["page", "f0"]).groupBy(*key).agg(F.min_by(F.struct("f0", "f1", "xf", "left", "right", "owner"), "f0").alias("f"))
+    part = lambda y0, y1, x0, x1: F.struct(y0.alias("a"), y1.alias("b"), x0.cast("long").alias("x0"), x1.cast("long").alias("x1"))
+    none, f0, f1 = F.lit(None), F.col("f.f0"), F.col("f.f1")
+    mine = F.col("pid") == F.col("f.owner")
+    parts = F.array_compact(F.array(
+        F.when(f0 - F.col("y0") > least, part(F.col("y0"), f0, none, none)),
+        part(F.greatest("y0", f0), F.least("y1", f1), F.col("f.left"), F.col("f.xf")),
+        F.when(mine, part(f0, f1, F.col("f.xf"), F.col("f.right"))),
+        F.when(F.col("y1") - f1 > least, part(f1, F.col("y1"), none, none)),
+    ))
+    split = first.select("pid", "page", F.explode(parts).alias("p"), F.when(mine, "side_figure").otherwise("side_figure_removed").alias("flag"))
+    split = split.select("pid", "page", F.col("p.a").alias("y0"), F.col("p.b").alias("y1"), "p.x0", "p.x1", "flag")
+    lost = fig.join(crossing.filter("not own"), ["page", "f0"]).select(F.col("owner").alias("pid"), "page", F.col("f0").alias("y0"), F.col("f1").alias("y1"), F.col("xf").cast("long").alias("x0"), F.col("right").cast("long").alias("x1"), F.lit("side_figure").alias("flag"))
+    kept = segments.select(*key).join(first.select(*key), key, "left_anti").select(*key, none.cast("long").alias("x0"), none.cast("long").alias("x1"), none.cast("string").alias("flag"))
+    return kept.unionByName(split).unionByName(lost)
+
+
 def own_figures_after(rest: DataFrame, captions: DataFrame) -> DataFrame:
     """Parts cut off an item (pid, page, y0, y1) that hold a caption of that item."""
     inside = captions.select(F.col("pid"), F.col("page"), F.col("y"))

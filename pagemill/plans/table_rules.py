@@ -360,6 +360,25 @@ SELECT page, min(y0) AS y0, max(y1) AS y1, max(x1) AS x_free, count(*) AS n FROM
 """
 
 
+def split_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """G4."""
+    seg = _cols(table(spark, sf, "part"), pid="p_partkey", page="p_partkey % 30", y0="p_partkey % 7 * 100", y1="p_partkey % 7 * 100 + 60 + p_size")
+    fig = _cols(table(spark, sf, "nation"), page="n_nationkey", f0="n_regionkey * 100 + 50", f1="n_regionkey * 100 + 250", xf="400", left="20", right="780", owner="case when n_nationkey % 2 = 0 then n_nationkey + 30 * n_regionkey else -n_nationkey end")
+    return G.split_side_figures(seg, fig)
+
+
+SPLIT_FIGURES = """
+WITH s AS (SELECT p_partkey AS pid, p_partkey % 30 AS page, p_partkey % 7 * 100 AS y0, p_partkey % 7 * 100 + 60 + p_size AS y1 FROM part),
+f AS (SELECT n_nationkey AS page, n_regionkey * 100 + 50 AS f0, n_regionkey * 100 + 250 AS f1, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 30 * n_regionkey ELSE -n_nationkey END AS owner FROM nation),
+m AS (SELECT s.*, f0, f1, owner FROM s JOIN f ON s.page = f.page AND y0 < f1 AND y1 > f0), c AS (SELECT page, count(DISTINCT pid) AS n, bool_or(pid = owner) AS own FROM m GROUP BY page HAVING count(DISTINCT pid) >= 2),
+h AS (SELECT m.* FROM m JOIN c ON m.page = c.page), k AS (SELECT *, CASE WHEN pid = owner THEN 'side_figure' ELSE 'side_figure_removed' END AS flag FROM h)
+SELECT pid, page, y0, y1, CAST(NULL AS BIGINT) AS x0, CAST(NULL AS BIGINT) AS x1, CAST(NULL AS VARCHAR) AS flag FROM s WHERE pid NOT IN (SELECT pid FROM h)
+UNION ALL SELECT pid, page, y0, f0, NULL, NULL, flag FROM k WHERE f0 - y0 > 8 UNION ALL SELECT pid, page, greatest(y0, f0), least(y1, f1), 20, 400, flag FROM k
+UNION ALL SELECT pid, page, f0, f1, 400, 780, flag FROM k WHERE pid = owner UNION ALL SELECT pid, page, f1, y1, NULL, NULL, flag FROM k WHERE y1 - f1 > 8
+UNION ALL SELECT owner, f.page, f0, f1, 400, 780, 'side_figure' FROM f JOIN c ON c.page = f.page WHERE NOT own
+"""
+
+
 def exam_pages(spark: SparkSession, sf: str) -> DataFrame:
     """G14, G15, X3."""
     chapters = _cols(table(spark, sf, "nation"), chapter="n_nationkey", start_page="n_nationkey * 3", end_page="n_nationkey * 3 + n_regionkey")
