@@ -278,6 +278,24 @@ UNION ALL SELECT p_partkey, 2, '(a) 甲' || chr(10) || '续' FROM p WHERE p_part
 """
 
 
+_QUOTED = ["甲乙丙丁戊己庚辛壬癸子丑寅卯", "0123456789012345", "ZYXWVUTSRQPONMLK", "aabbccddeeffgghh"]
+_QUOTES = ["甲 乙，丙$丁$（戊）己庚辛壬癸子丑寅", "01234", "ZYX WVU。", "a", "qqqqqqqq", "aabbcc{dd}eeffgg"]
+
+
+def quoted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of twenty pages, of which a quote is looked for in a part of its page."""
+    p = table(spark, sf, _PART).filter("p_partkey >= 0")
+    lines = spark.range(20).select(F.col("id").alias("page"), F.explode(F.array(*[F.struct(F.lit(i).alias("line"), F.lit(t).alias("text"), F.lit(10.0 * i).alias("yc")) for i, t in enumerate(_QUOTED)])).alias("l")).select("page", "l.*")
+    quotes = p.select(F.col("p_partkey").alias("key"), (_key() % 20).alias("page"), _case(F.floor(_key() / 20), _QUOTES).alias("quote"), F.lit(0.0).alias("lo"), F.when(_key() % 3 == 0, 5.0).otherwise(40.0).alias("hi"))
+    return M.best_line(quotes, lines, "page").select("key", "line", "text", F.round("score", 6).alias("score"))
+
+
+QUOTED_LINES = f"""
+SELECT key, CAST(line AS INTEGER) AS line, ({_list(_QUOTED)})[line + 1] AS text, round(2.0 * m / (m + least(m + 2, length(({_list(_QUOTED)})[line + 1]))) + 0.3, 6) AS score
+FROM (SELECT p_partkey AS key, p_partkey % 3 = 0 AS first, {_pick([0, 1, 2, None, None, 3], "p_partkey // 20")} AS line, {_pick([12, 5, 6, 0, 0, 12], "p_partkey // 20")} AS m FROM part) WHERE line = 0 OR line IS NOT NULL AND NOT first
+"""
+
+
 def formats(spark: SparkSession, sf: str) -> DataFrame:
     """F51, F52, X2."""
     key, n = F.col("o_orderkey"), F.col("o_orderkey") % 9 + 1

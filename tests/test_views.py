@@ -36,3 +36,24 @@ def test_problem_view_order(spark):
     rows = V.chapter_problems(bank(spark), slots, issues, issues.limit(0), jobs).collect()
     assert [r.problem_id for r in rows] == ["1.1", "1.2", "1.10", "2.1"]
     assert [r.needs_review for r in rows] == [False, True, True, False] and rows[3].state == "queued"
+
+
+def test_writers(spark, tmp_path):
+    from pagemill.sources import sinks
+
+    report = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "project string, chapter int, note string")
+    path = str(tmp_path / "report")
+    sinks.write_report(report, path)
+    sinks.write_report(report.filter("project = 'a'").withColumn("note", F.lit("new")), path)  # b's part stays
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("project", "chapter", "note").collect()) == [("a", 1, "new"), ("b", 1, "y")]
+    sinks.write_markdown(report.select("project", "note"), str(tmp_path / "md"), "project", "note")
+    assert sorted(tuple(r) for r in spark.read.text(str(tmp_path / "md")).select("project", "value").collect()) == [("a", "x"), ("b", "y")]
+    src = str(tmp_path / "in")
+    report.write.json(src)
+    for _ in range(2):  # a second run finds nothing new
+        sinks.append_json(spark.readStream.schema(report.schema).json(src), str(tmp_path / "log"), str(tmp_path / "check")).awaitTermination()
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    stream = tables.inbox(spark, src, "project string, chapter int, note string")
+    q = stream.writeStream.format("memory").queryName("inbox").option("checkpointLocation", str(tmp_path / "inbox")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("inbox").count() == 2
