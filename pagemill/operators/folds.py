@@ -6,29 +6,19 @@ work; rows stream by in sorted partitions, so nothing of a key is gathered but w
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+from ..shipping import with_code
+
 #: Rows that are given out together.
 OUT = 10_000
 
 
-def with_code(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when it is run from a checkout."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "")
-    if _ROOT not in paths.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, paths) if x)
-    return spark
-
-
 class Machine:
     """The state of one key. ``row`` gets the values of one row and ``end`` none; both return rows to give out."""
 
