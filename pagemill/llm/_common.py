@@ -56,15 +56,33 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Folders of scratch tables that this process has made and not cleared.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables of this process. Results that were not written or collected yet can't be read after."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
 class Scratch:
     """Tables that cut the lineage of one operator's run; each is written once and read again.
 
-    They live in the shared folder, so an executor that is lost takes nothing with it.
+    They live in the shared folder, so an executor that is lost takes nothing with it. An operator drops those that its
+    result does not read; the others stay until ``clear_scratch``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        _made.append(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -72,18 +90,20 @@ class Scratch:
     def read(self, name: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
-    def save(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        writer = df.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.read(name, df.schema)
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path(name))
+        self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        for name in sorted(self.names.difference(names)):
+            self.drop(name)
 
 
 def tidied(run):

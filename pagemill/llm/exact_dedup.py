@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 256
@@ -52,9 +52,8 @@ def name_rows(scratch: Scratch, rows: DataFrame, key: list[str], level: int, hot
     return first.join(agreed, "name1", "left").select(*carried, F.coalesce("name2", "name1").alias("name"))
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, hot: int = 256) -> DataFrame:
+def identities(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, hot: int = 256) -> DataFrame:
     """Per row of ``docs``: rid, id, text_sha256 and the pair (n_blocks, name) that equal texts share."""
-    scratch = Scratch(docs.sparkSession, "exact_dedup")
     body = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     base = docs.select(F.col(id_col).alias("id"), F.encode(body, "UTF-8").alias("body"))
     base = base.select(F.monotonically_increasing_id().alias("rid"), "id", F.sha2("body", 256).alias("sha"), "body", F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block_bytes)).cast("int").alias("n"))
@@ -87,9 +86,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays, a null id counting as the smallest; of rows that repeat an id too, one stays. Columns other than the two
     named are not read. An empty table gives an empty result.
     """
-    rows = identities(docs, id_col, text_col, block_bytes, hot)
-    scratch = Scratch(docs.sparkSession, "exact_dedup_groups")
-    rows = scratch.save(rows, "rows")
+    scratch = Scratch(docs.sparkSession, "exact_dedup")
+    rows = scratch.save(identities(docs, scratch, id_col, text_col, block_bytes, hot), "rows")
+    scratch.keep("rows")
     groups = rows.groupBy("n_blocks", "name").agg(F.max(F.struct("id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
     groups = scratch.save(groups, "groups")
     joined = rows.join(groups, ["n_blocks", "name"])
@@ -97,14 +96,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows repeating an id and text, one."""
-    own = "__kept_id"
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own), "text_sha256")
-    body = F.sha2(F.encode(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), "UTF-8"), 256)
-    rows = docs.withColumn("__sha", body).withColumn("__n", F.monotonically_increasing_id())
-    kept = kept.withColumnRenamed("text_sha256", "__kept_sha")
-    hit = rows.join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
-    return hit.dropDuplicates([id_col, "__sha"]).drop("__sha", "__n")
+    """The rows of ``docs`` that stay, columns unchanged, whatever their names; null texts count as empty.
+
+    Of rows that repeat an id and a text, one stays: the one whose other columns come first as JSON, so reruns agree. An
+    empty table gives an empty result.
+    """
+    own, own_sha, sha, rest, place = unused(docs, "_kept_id", "_kept_sha", "_sha", "_rest", "_place")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(own_sha))
+    body = F.sha2(F.encode(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8"), 256)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.withColumn(sha, body).withColumn(rest, F.to_json(F.struct(*others)) if others else F.lit(""))
+    hit = rows.join(kept, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(sha) == F.col(own_sha)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(rest))
+    return hit.withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
 
 
 SQL = """

@@ -377,6 +377,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     left = blocks.select("block", "row", "id", "fold", "begins", "closes", "lengths", "t").groupBy("block")
     right = said.select(F.col("unit").alias("_unit"), "kind", "place", "n", "total").groupBy("_unit")
     scored = scratch.save(left.cogroup(right).applyInArrow(score, f"row long, id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, part boolean"), "scored")
+    scratch.keep("scored")
     values = ["n_tokens", "n_known", "base_score", "score"]
     parts = scored.filter("part").groupBy("row").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in values])
     out = scored.filter("not part").select("id", "held_out", *values).unionByName(parts.select("id", "held_out", *values))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -132,14 +132,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; columns unchanged.
+    """``docs`` with every row as often as the mix takes it; columns unchanged, whatever their names.
 
-    Rows that share id, source and size are told apart by counting only, so the k-th of them gets the k-th number of copies.
+    Rows that share id, source and size are told apart by counting only, so the k-th of them gets the k-th number of
+    copies. Null ids and sources are values like others; rows without words, null texts among them, are not taken. An
+    empty table gives an empty result.
     """
     taken = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0")
-    per_key = taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    rows = docs.withColumn("__words", count_words(F.col(text_col)))
-    hit = rows.join(per_key, rows[id_col].eqNullSafe(per_key["__id"]) & rows[source_col].eqNullSafe(per_key["__source"]) & (rows["__words"] == per_key["__size"]))
-    at = F.row_number().over(Window.partitionBy(id_col, source_col, "__words").orderBy(F.xxhash64(text_col)))
-    counted = hit.withColumn("__at", at)
-    return counted.filter(F.col("__at") <= F.size("__copies")).withColumn("__copy", F.explode(F.expr("sequence(1L, element_at(__copies, __at))"))).select(*docs.columns)
+    key, source, size, copies, words, at, copy = unused(docs, "_id", "_source", "_size", "_copies", "_words", "_at", "_copy")
+    per_key = taken.groupBy(F.col(id_col).alias(key), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(copies))
+    rows = docs.withColumn(words, count_words(F.col(text_col)))
+    hit = rows.join(per_key, F.col(id_col).eqNullSafe(F.col(key)) & F.col(source_col).eqNullSafe(F.col(source)) & (F.col(words) == F.col(size)))
+    counted = hit.withColumn(at, F.row_number().over(Window.partitionBy(id_col, source_col, words).orderBy(F.xxhash64(text_col))))
+    counted = counted.filter(F.col(at) <= F.size(copies))
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.element_at(copies, F.col(at)).cast("long")))).select(*docs.columns)

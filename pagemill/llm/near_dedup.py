@@ -272,6 +272,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = scratch.save(linked, "linked")
     names = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     per_class = scratch.save(linked.join(scratch.save(names, "names"), "label").select("n", "f1", "f2", "component_id"), "per_class")
+    scratch.keep("described", "per_class")
     out = seen.select("id", "n", "f1", "f2").join(per_class, ["n", "f1", "f2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

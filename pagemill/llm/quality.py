@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import wordhash
-from ._common import with_code
+from ._common import tidied, unused, with_code
 
 #: Labelled rows that the model is fitted on at most: those whose ids have the smallest hashes.
 SAMPLE = 20_000
@@ -138,18 +138,20 @@ def remainder(id_col: str, by: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most ``sample`` labelled rows, none of them held out (crc32 of the id mod 5 is 0)."""
+    """Fits on at most ``sample`` labelled rows, none of them held out (crc32 of the id mod 5 is 0): those whose ids' hashes
+    come first and, where ids repeat, those whose hashes with their statistics do. Labels without a document, null ids and null labels count for
+    nothing."""
     with_code(docs.sparkSession)
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("y")).filter("y is not null").filter(F.col(id_col).isNotNull() & (remainder(id_col, 5) != 0))
     chosen = known.orderBy(F.xxhash64(id_col), id_col, "y").limit(sample)
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), id_col).select("t", "y")  # bounded by sample
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), id_col).select("t", "y", F.xxhash64(id_col).alias("h"))  # bounded by sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (w.slice(i, SLICE) for w in batches for i in range(0, w.num_rows, SLICE)):
             x = statistics(batch.column(0).to_pylist())
-            yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+            yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "h"])
 
-    got = rows.mapInArrow(run, "x array<double>, y int").orderBy("y", "x").limit(4 * sample).toPandas()
+    got = rows.mapInArrow(tidied(run), "x array<double>, y int, h long").orderBy(F.xxhash64("h", "x"), "x", "y").limit(sample).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(-1, len(NAMES))
     return fit(x, (got["y"].to_numpy() == 1).astype(float))
 
@@ -168,7 +170,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str, score: str) -> Dat
                 scores = shared.value.score(statistics(batch.column(at).to_pylist()))
                 yield pa.record_batch([*batch.columns, pa.array(scores)], names=[*batch.schema.names, score])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,6 +185,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    name = next(n for n in (f"__score{i or ''}" for i in range(10**6)) if n not in docs.columns)
+    """The rows of ``docs`` that the classifier accepts, columns unchanged, whatever their names. Null texts count as
+    empty; without any label all rows stay; an empty table gives an empty result."""
+    (name,) = unused(docs, "_score")
     return with_scores(docs, train(docs, labels, id_col, text_col), text_col, name).filter(F.col(name) >= ACCEPT).drop(name)
