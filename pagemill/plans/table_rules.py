@@ -343,7 +343,7 @@ WITH s AS (SELECT p_partkey % 5 AS chapter, p_partkey AS pid, p_partkey % 20 AS
 c AS (SELECT s_suppkey % 5 AS chapter, s_suppkey * 3 AS pid, s_suppkey % 20 AS page, s_suppkey * 29 % 600 AS y, s_suppkey % 20 + 20 * (s_suppkey * 3 // 60) AS own FROM supplier),
 n AS (SELECT s.pid, ink_only, count(DISTINCT c.pid) AS n, min(c.pid) AS named FROM s LEFT JOIN c ON s.chapter = c.chapter AND s.page = c.page AND c.y BETWEEN y0 AND y1 AND c.pid <> s.pid GROUP BY 1, 2),
 a AS (SELECT *, CASE WHEN n = 0 THEN 'keep' WHEN n > 1 THEN 'unresolved' WHEN ink_only THEN 'move' ELSE 'copy' END AS action FROM n)
-SELECT a.pid, action, unnest(CASE action WHEN 'move' THEN [named] WHEN 'copy' THEN [a.pid, named] ELSE [a.pid] END) AS owner, (SELECT CASE WHEN count(*) > 0 THEN 1 END FROM s JOIN c ON c.own = s.pid AND c.page = s.page AND c.y BETWEEN s.y0 AND s.y1 WHERE s.pid = a.pid) AS own FROM a
+SELECT a.pid, action, unnest(CASE action WHEN 'move' THEN [named] WHEN 'copy' THEN [a.pid, named] ELSE [a.pid] END) AS owner, (SELECT CASE WHEN count(*) > 0 THEN CAST(1 AS BIGINT) END FROM s JOIN c ON c.own = s.pid AND c.page = s.page AND c.y BETWEEN s.y0 AND s.y1 WHERE s.pid = a.pid) AS own FROM a
 """
 
 

@@ -273,7 +273,7 @@ def sub_items(spark: SparkSession, sf: str) -> DataFrame:
 
 SUB_ITEMS = f"""
 WITH p AS (SELECT p_partkey, {_N_SQL} AS k FROM part)
-SELECT p_partkey, 1 AS line, CASE p_partkey % 3 WHEN 0 THEN '题干 ' || k WHEN 1 THEN '(1) ' || k ELSE '无 ' || k END AS text FROM p
+SELECT p_partkey, CAST(1 AS BIGINT) AS line, CASE p_partkey % 3 WHEN 0 THEN '题干 ' || k WHEN 1 THEN '(1) ' || k ELSE '无 ' || k END AS text FROM p
 UNION ALL SELECT p_partkey, 2, '(a) 甲' || chr(10) || '续' FROM p WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 3, '(b) 乙' FROM p WHERE p_partkey % 3 = 0
 """
 
