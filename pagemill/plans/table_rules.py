@@ -464,6 +464,22 @@ SELECT page, CAST(sum(x1) AS DOUBLE) AS reach, CAST(sum(length(t)) AS BIGINT) AS
 """
 
 
+_CACHES = ['[{"x0": <k>, "text": "a<k>"}]', '{"deep": true, "lines": [{"x0": 1, "text": "b"}, {"text": "c"}]}', '{"lines": []}', '{"deep": true, "lines": ', "[]", "null"]
+
+
+def cached_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """S6, S7."""
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("page"), F.replace(_case(F.col("p_partkey"), _CACHES), F.lit("<k>"), F.col("p_size").cast("string")).alias("value"))
+    cached = tables.cached_lines(files)
+    todo = tables.pages_to_scan(files.select("page"), cached).withColumn("scan", F.lit(True))
+    return files.select("page").join(cached, "page", "left").join(todo, "page", "left").select("page", "deep", F.when(F.col("lines").isNotNull(), F.size("lines")).cast("long").alias("n"), F.get("lines", F.lit(0))["text"].alias("first"), "scan")
+
+
+CACHED_PAGES = f"""
+SELECT p_partkey AS page, {_pick([True, True, False, None, True, None])} AS deep, CAST({_pick([1, 2, 0, None, 0, None])} AS BIGINT) AS n, CASE p_partkey % 6 WHEN 0 THEN 'a' || p_size WHEN 1 THEN 'b' END AS first, CASE WHEN p_partkey % 6 IN (3, 5) THEN true END AS scan FROM part
+"""
+
+
 def text_layers(spark: SparkSession, sf: str) -> DataFrame:
     """S8, S9, S11, S14, K8."""
     pages = _cols(table(spark, sf, "part"), pno="p_partkey", n_chars="p_size * 2")

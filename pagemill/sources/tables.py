@@ -88,6 +88,18 @@ def lines_to_recognise(lines: DataFrame) -> DataFrame:
     return lines.filter("x1 - x0 <= 0.35 * W or y1 - y0 >= 1.2 * med_h")
 
 
+CACHED_LINE = "struct<x0:double,y0:double,x1:double,y1:double,text:string,score:double,partial:boolean>"
+
+
+def cached_lines(files: DataFrame) -> DataFrame:
+    """(page, deep, lines) of cached pages (page, value). A cache is an object with its lines and whether they were
+    read in full; the old format is a list of lines, all of them read in full. What can't be read is no cache."""
+    old = F.col("value").rlike(r"^\s*\[")
+    new = F.from_json("value", f"deep boolean, lines array<{CACHED_LINE}>")
+    lines = F.when(old, F.from_json("value", f"array<{CACHED_LINE}>")).otherwise(new["lines"])
+    return files.select("page", (old | F.coalesce(new["deep"], F.lit(False))).alias("deep"), lines.alias("lines")).filter("lines is not null")
+
+
 def pages_to_scan(pages: DataFrame, cached: DataFrame, only: DataFrame | None = None, skip: DataFrame | None = None) -> DataFrame:
     """Wanted pages that no cache has; listing pages prunes the scan."""
     out = pages if only is None else pages.join(only.select("page"), "page", "left_semi")
