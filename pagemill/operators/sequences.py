@@ -112,6 +112,36 @@ def segment_bounds(anchors: DataFrame, key: str, page: str, y: str, height: int,
     return out.withColumn("end_y", end).withColumn("flag", flag).withColumn("mid_pages", F.when(short, 0).otherwise(F.greatest(F.lit(0), F.coalesce(F.col("next_page") - F.col(page) - 1, F.lit(0)))))
 
 
+def item_segments(anchors: DataFrame, pages: DataFrame, doc: str = "doc", overflow: float = 0.08, least: int = 12) -> DataFrame:
+    """W9 in full: the parts of pages that each item covers, as (doc, pid, page, y0, y1, flag).
+
+    anchors (doc, pid, ch, page, y, ink): where an item begins and where the content below it ends on its page (null: at
+    the footer). pages (doc, page, header_cut, footer_cut, H, flag). An item ends at the next anchor of its page, else
+    with its content. If that reaches the lowest ``overflow`` of the page and there is a next page, it goes on: within its
+    chapter over whole pages up to the next anchor's, of which it gets the head if that is taller than ``least``, but not
+    past an opener, a stop or a table of contents; as the last of its chapter over the next page, if that is none of
+    these and holds no anchor.
+    """
+    w = Window.partitionBy(doc).orderBy("page", "y", "pid")
+    page = pages.select(doc, F.col("page").alias("_q"), "header_cut", "footer_cut", "H", F.coalesce(F.col("flag").isin("opener", "stop", "toc"), F.lit(False)).alias("_flagged"))
+    a = anchors.withColumn("_np", F.lead("page").over(w)).withColumn("_ny", F.lead("y").over(w)).withColumn("_nc", F.lead("ch").over(w))
+    a = a.join(page.select(doc, F.col("_q").alias("page"), "footer_cut", "H"), [doc, "page"])
+    same = F.coalesce(F.col("_np") == F.col("page"), F.lit(False))
+    bottom = F.coalesce("ink", "footer_cut")
+    first = a.select(doc, "pid", "page", F.col("y").cast("double").alias("y0"), F.when(same, F.col("_ny")).otherwise(bottom).cast("double").alias("y1"), F.lit(None).cast("string").alias("flag"))
+    on = a.filter(~same & (bottom >= F.col("footer_cut") - overflow * F.col("H"))).select(doc, "pid", "page", F.coalesce(F.col("_nc") == F.col("ch"), F.lit(False)).alias("_same"), "_np", "_ny")
+    on = on.join(page.select(doc, (F.col("_q") - 1).alias("page")), [doc, "page"], "left_semi")
+    whole = lambda flag: [doc, "pid", F.col("_q").alias("page"), F.col("header_cut").cast("double").alias("y0"), F.col("footer_cut").cast("double").alias("y1"), F.lit(flag).alias("flag")]
+    steps = on.filter("_same").withColumn("_q", F.explode(F.sequence(F.col("page") + 1, F.col("_np")))).join(page, [doc, "_q"])
+    mid = F.col("_q") < F.col("_np")
+    over = F.max((mid & F.col("_flagged")).cast("int")).over(Window.partitionBy(doc, "pid").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0))
+    steps = steps.withColumn("_over", over).filter("_over = 0")
+    head = steps.filter(~mid & (F.col("_ny") - F.col("header_cut") > least))
+    head = head.select(doc, "pid", F.col("_q").alias("page"), F.col("header_cut").cast("double").alias("y0"), F.col("_ny").cast("double").alias("y1"), F.lit("stitched").alias("flag"))
+    tail = on.filter("not _same").withColumn("_q", F.col("page") + 1).join(page.filter("not _flagged"), [doc, "_q"]).join(anchors.select(doc, F.col("page").alias("_q")), [doc, "_q"], "left_anti")
+    return first.unionByName(steps.filter(mid).select(*whole("stitch_mid_page"))).unionByName(head).unionByName(tail.select(*whole("stitched_tail")))
+
+
 def stitched_pages(segments: DataFrame, page: str) -> DataFrame:
     """One row per whole page between an item's first page and the next anchor's."""
     return segments.filter("mid_pages > 0").withColumn("mid_page", F.explode(F.sequence(F.col(page) + 1, F.col("next_page") - 1)))

@@ -480,6 +480,26 @@ SELECT p_partkey AS page, {_pick([True, True, False, None, True, None])} AS deep
 """
 
 
+def item_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """W9."""
+    anchors = _cols(table(spark, sf, "part"), doc="p_partkey % 4", pid="p_partkey", ch="p_partkey * 7 % 60 div 9", page="p_partkey * 7 % 60", y="p_size * 10", ink="case when p_partkey % 3 > 0 then p_size * 10 + p_partkey % 900 end")
+    pages = _cols(spark.range(240), doc="id % 4", page="id div 4", header_cut="30", footer_cut="950", H="1000", flag="case when id div 4 % 13 = 5 then 'stop' end").filter("page % 17 > 0")
+    return W.item_segments(anchors.filter("page % 17 > 0"), pages)
+
+
+ITEM_SEGMENTS = """
+WITH a AS (SELECT p_partkey % 4 AS doc, p_partkey AS pid, p_partkey * 7 % 60 // 9 AS ch, p_partkey * 7 % 60 AS page, p_size * 10 AS y, CASE WHEN p_partkey % 3 > 0 THEN p_size * 10 + p_partkey % 900 ELSE 950 END AS bottom FROM part WHERE p_partkey * 7 % 60 % 17 > 0),
+n AS (SELECT *, lead(page) OVER w AS np, lead(y) OVER w AS ny, lead(ch) OVER w AS nc FROM a WINDOW w AS (PARTITION BY doc ORDER BY page, y, pid)),
+o AS (SELECT *, coalesce(nc = ch, false) AS same FROM n WHERE (np IS NULL OR np <> page) AND bottom >= 870 AND page + 1 < 60 AND (page + 1) % 17 > 0),
+s AS (SELECT o.*, q FROM o, LATERAL (SELECT unnest(generate_series(page + 1, np)) AS q) x WHERE same AND q % 17 > 0),
+c AS (SELECT *, (SELECT min(t.q) FROM s t WHERE t.pid = s.pid AND t.q % 13 = 5 AND t.q < t.np) AS stop FROM s)
+SELECT doc, pid, page, CAST(y AS DOUBLE) AS y0, CAST(CASE WHEN np = page THEN ny ELSE bottom END AS DOUBLE) AS y1, CAST(NULL AS VARCHAR) AS flag FROM n
+UNION ALL SELECT doc, pid, q, 30.0, 950.0, 'stitch_mid_page' FROM c WHERE q < np AND (stop IS NULL OR q < stop)
+UNION ALL SELECT doc, pid, q, 30.0, CAST(ny AS DOUBLE), 'stitched' FROM c WHERE q = np AND stop IS NULL AND ny - 30 > 12
+UNION ALL SELECT doc, pid, page + 1, 30.0, 950.0, 'stitched_tail' FROM o WHERE NOT same AND (page + 1) % 13 <> 5 AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc = o.doc AND a.page = o.page + 1)
+"""
+
+
 def text_layers(spark: SparkSession, sf: str) -> DataFrame:
     """S8, S9, S11, S14, K8."""
     pages = _cols(table(spark, sf, "part"), pno="p_partkey", n_chars="p_size * 2")
