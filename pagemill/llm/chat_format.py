@@ -51,7 +51,8 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 def assembled(segments: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """(conv, perspective, text, spans): each rendering as one string with the spans to learn. Only for conversations
-    that fit in a row; ``perspectives`` has no such bound."""
+    that fit in a row; ``perspectives`` has no such bound and has settled what nulls mean. Perspectives without anything
+    to learn have no spans; an empty table gives an empty result; columns other than those of ``perspectives`` are not read."""
     parts = F.sort_array(F.collect_list(F.struct("start", "segment", "mask_from", "mask_to")))
     whole = segments.groupBy(conv_col, "perspective").agg(parts.alias("p"))
     spans = F.transform(F.filter("p", lambda x: x["mask_from"] < x["mask_to"]), lambda x: F.struct(x["mask_from"].alias("from"), x["mask_to"].alias("to")))

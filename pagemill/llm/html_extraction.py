@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by link density, stop-word density and
 length; short or middling blocks stay open. In the second pass each open block takes the label of its nearest decided
 neighbour. What markup itself declares to be no article (menus, forms, scripts, hidden elements and so on) is no block
-at all. Boxes named as adverts and the like are left out as well, unless a long, dense block with few links in them
+at all, and neither are reader comments, which their boxes' names tell. Boxes named as adverts and the like are left out as well, unless a long, dense block with few links in them
 tells otherwise; then their blocks are judged as any others.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import with_code
+from ._common import tidied, with_code
 
 # HTML vocabulary, and the most frequent function words of the languages covered.
 RAW_TEXT = frozenset("script style textarea title xmp noframes noembed iframe".split())
@@ -27,8 +28,12 @@ SKIPPED = frozenset("head nav footer aside form script style noscript template s
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset dialog figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ZONES = frozenset(("article", "main"))
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations toc pagination pager login signup signin widget copyright legal disclaimer hidden search skip tags toolbar".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations toc pagination pager login signup signin widget copyright legal disclaimer hidden search skip tags toolbar".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+COMMENT_PARTS = frozenset("area author body box container content count form group header inner item list main meta node reply replies respond section template text thread title view wrap wrapper".split())
+# what ends a paragraph that is still open
+ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 STOP_WORDS = frozenset(
     (
@@ -73,7 +78,7 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
 
 
 def _unwanted(name: str, attributes: dict[str, str]) -> bool:
-    if name in SKIPPED:
+    if name in SKIPPED or name not in ("html", "body", "main") and _comments(attributes):
         return True
     if name in ZONES or name in ("html", "body") or not attributes:
         return False
@@ -86,12 +91,26 @@ def _unwanted(name: str, attributes: dict[str, str]) -> bool:
     return False
 
 
+def _parts(tokens: str) -> Iterator[list[str]]:
+    return ([p.lower() for p in _NAME_PARTS.findall(t)] for t in tokens.split())
+
+
+def _comments(attributes: dict[str, str]) -> bool:
+    """Whether a class, the id or the item type of an element says that it holds reader comments."""
+    if not attributes:
+        return False
+    if attributes.get("itemprop", "").lower() == "comment" or attributes.get("itemtype", "").lower().endswith("/comment"):
+        return True
+    named = _parts(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    return any(p and p[0] in COMMENTS and all(x in COMMENTS or x in COMMENT_PARTS or x.isdigit() for x in p) for p in named)
+
+
 def _hinted(name: str, attributes: dict[str, str]) -> bool:
     """Whether a class or the id of an element consists of words that name no article, as ad or cookie-banner do."""
     if name in ZONES or name in ("html", "body"):
         return False
-    tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
-    return any((parts := _NAME_PARTS.findall(t)) and all(p.lower() in HINTS or p.isdigit() for p in parts) and not t.isdigit() for t in tokens)
+    named = _parts(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    return any(p and all(x in HINTS or x.isdigit() for x in p) and not all(map(str.isdigit, p)) for p in named)
 
 
 def _density(text: str) -> float:
@@ -104,6 +123,7 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, without what its markup sets aside."""
     out: list[Block] = []
     stack: list[str] = []
+    opened: Counter[str] = Counter()  # how many elements of each name are open
     skipped_at = -1  # depth of the element that is being skipped
     zones = links = headings = 0
     held: list[tuple[str, int, int]] = []  # text, how much of it is linked, its box
@@ -134,13 +154,20 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(line, sum(h[1] for h in held), headings > 0, zones > 0, box))
         held = []
 
-    def leave(name: str) -> None:
-        nonlocal zones, links, headings
+    def close() -> str:
+        """Ends the innermost open element."""
+        nonlocal zones, links, headings, skipped_at
+        name = stack.pop()
+        opened[name] -= 1
+        if skipped_at >= 0:
+            skipped_at = -1 if len(stack) == skipped_at else skipped_at
+            return name
         while boxes and boxes[-1][0] >= len(stack):
             boxes.pop()
         zones -= name in ZONES
         links -= name == "a"
         headings -= len(name) == 2 and name[0] == "h" and name[1] in "123456"
+        return name
 
     while m := _TAG.search(page, at):
         text(page[at : m.start()])
@@ -163,18 +190,11 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if m[3]:
-            if name in stack:
-                while True:
-                    gone = stack.pop()
-                    if skipped_at < 0:
-                        leave(gone)
-                    elif len(stack) == skipped_at:
-                        skipped_at = -1
-                    if gone == name:
-                        break
+            while opened[name] and close() != name:
+                pass
             continue
-        if name in ("p", "li") and stack and stack[-1] == name and skipped_at < 0:
-            leave(stack.pop())
+        if stack and (stack[-1] == "p" and name in ENDS_PARAGRAPH or stack[-1] == name == "li"):
+            close()
         in_article_header = name == "header" and zones > 0
         if skipped_at < 0 and (_unwanted(name, attributes) or name == "header" and not in_article_header):
             skipped_at = len(stack)
@@ -182,13 +202,14 @@ def blocks(page: str) -> list[Block]:
             n_boxes += 1
             boxes.append((len(stack), n_boxes))
         stack.append(name)
+        opened[name] += 1
         if skipped_at < 0:
             zones += name in ZONES
             links += name == "a"
             headings += len(name) == 2 and name[0] == "h" and name[1] in "123456"
         if name in RAW_TEXT:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-            at = close.start() if close else len(page)
+            last = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            at = last.start() if last else len(page)
     text(page[at:])
     flush()
     return out
@@ -265,4 +286,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")
+    return rows.mapInArrow(tidied(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, `{url_col}` string, text string, n_chars long")

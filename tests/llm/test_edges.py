@@ -47,6 +47,73 @@ def test_rows_and_columns(spark, labels, name):
     assert empty.columns == list(plain.columns) and empty.count() == 0
 
 
+#: Names that the helpers use for columns of their own.
+TAKEN = ["_id", "_source", "_size", "_copies", "_words", "_at", "_copy", "_kept_id", "_kept_sha", "_sha", "_rest", "_place", "_score", "_SHA_"]
+
+
+def test_rows_that_stay_keep_their_columns(spark, labels):
+    plain = spark.createDataFrame(ROWS, SCHEMA)
+    docs = plain
+    for c in TAKEN:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce("source", F.lit("-"))))
+    empty = docs.limit(0)
+    for keep, want in ((exact_dedup.drop_exact_duplicates, 7), (near_dedup.keep_first, 7), (lambda d: quality.drop_rejected(d, labels), None), (mixing.apply_mix, None)):
+        out = keep(docs)
+        got = out.collect()
+        assert got and out.columns == docs.columns and all(r[c] == c + (r.source or "-") for r in got for c in TAKEN)
+        assert want is None or len({(r.doc_id, r.text) for r in got}) == want
+        out = keep(empty)
+        assert out.columns == docs.columns and out.count() == 0
+        if keep is exact_dedup.drop_exact_duplicates:
+            assert sorted((r.doc_id or -1) for r in got) == [-1, 3, 4, 5, 6, 7, 8]  # of the two rows with id 4 and one text, one
+        if keep is near_dedup.keep_first:
+            assert {r.doc_id for r in got} == {1, 2, 3, 5, 6, 7, None}  # 4 is 1's copy, 8 is 5's
+        if keep is mixing.apply_mix:
+            assert {r.doc_id for r in got} <= {1, 4, 5, 7, 8, None}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(ROWS, SCHEMA).withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.count() > 0
+        if name != "packing":
+            assert got.columns == corpus_pipeline.COLUMNS
+        none = stage(spark, docs.limit(0).withColumn("_sha", F.lit(1)).withColumn("id", F.lit(2)), str(tmp_path))
+        assert none.columns == got.columns and none.count() == 0
+
+
+def test_quality_learns_from_both_labels_of_repeated_ids(spark):
+    """As many rows as the sample takes, of both labels, where each id has several texts."""
+    good, bad = "the of and to in a is that for it was with be by on not he his " * 4, "zx qq 12 !! ## kk vv " * 6
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) + str(k)) for i in range(120) for k in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample=100)
+    scores = model.score(quality.statistics([good + "1", bad + "1"]))
+    assert scores[0] > 0.9 and scores[1] < 0.1
+
+
+def test_quality_model_against_a_walk(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, len(quality.NAMES)))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    probe = rng.normal(size=(50, len(quality.NAMES)))
+
+    def walk(row):
+        margin = model.prior
+        for feature, threshold, leaves in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            margin += leaves[node - len(feature)]
+        return 1 / (1 + np.exp(-margin))
+
+    assert np.allclose(model.score(probe), [walk(r) for r in probe])
+
+
 def test_exact(spark):
     got = exact_dedup.exact_dedup(spark.createDataFrame(ROWS, SCHEMA), block_bytes=64, hot=3).toPandas()
     assert got.kept.sum() == 7  # one of a..f, one empty, x, two long ones, the blank and the special
@@ -224,6 +291,41 @@ def test_named_boxes_stay_out():
     assert html_extraction.main_text(f'<p>{LINE} <span class="share">Share <b>it</b></span>and so on</p><p>{LINE}</p>') == f"{LINE} and so on\n{LINE}"
 
 
+def test_comments_stay_out():
+    long = " ".join([LINE] * 4)
+    article = f"<article><h1>Title</h1><p>{LINE}</p></article>"
+    for box in (f'<article class="comment"><p>{long}</p></article>', f'<div class="comments"><article><p>{long}</p></article></div>', f'<section id="comments-area"><p>{long}</p><p>{long}</p></section>', f'<li class="comment-12"><p>{long}</p></li>', f'<div itemprop="comment"><p>{long}</p></div>'):
+        assert html_extraction.main_text(article + box) == f"Title\n{LINE}"
+        assert html_extraction.main_text(f"<main>{article}{box}</main>") == f"Title\n{LINE}"
+    assert html_extraction.main_text(f'<div class="comments-enabled"><p>{LINE}</p></div>') == LINE
+
+
+def test_shapes_of_articles():
+    assert html_extraction.main_text(f"<div><script>x</script><p>{LINE}</p></div><script>y</script><p>{LINE}</p>") == f"{LINE}\n{LINE}"
+    for wrapper in ('class="container with-sidebar"', 'id="page" class="no-header"'):
+        assert html_extraction.main_text(f"<div {wrapper}><h1>Title</h1><p>{LINE}</p><p>{LINE}</p></div>") == f"Title\n{LINE}\n{LINE}"
+    assert html_extraction.main_text(f'<article class="post"><div class="entry-header"><h1>Title</h1></div><p>{LINE}</p></article>') == f"Title\n{LINE}"
+    for opening, nxt in (('<p class="ad">', "<p>"), ("<p hidden>", "<p>"), ("<p hidden>", "<div>"), ('<li class="ad">', "<li>"), ("<li hidden>", "<li>")):
+        assert html_extraction.main_text(f"<div>{opening}Buy now{nxt}{LINE}{nxt}{LINE}</div>") == f"{LINE}\n{LINE}"
+
+
+def test_unclosed_tags_cost_no_more_each(spark):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_extraction.main_text("<div>" * n + "x" + "</i>" * n)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4000), 0.005)
+
+
+def test_no_pages(spark):
+    out = html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.count() == 0
+
+
 def test_page_rows(spark):
     d = spark.createDataFrame([(1, "u", None), (None, None, "<p>x</p>"), (2, "v", "<p>" + LONG + "</p>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.text, r.n_chars) for r in html_extraction.extract(d).collect()}
@@ -241,6 +343,22 @@ def test_chat(spark):
     assert chat_format.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_and_vectors_with_clashing_columns(spark):
+    turns = spark.createDataFrame([(1, 0, "ann", "hi"), (1, 1, "bob", "ho"), (1, 1, "bob", "ho")], "conv_id long, turn long, role string, text string")
+    clash = turns
+    for c in ("conv", "speaker", "perspective", "segment", "start", "as_role", "body", "mask_from"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    want = sorted(map(str, chat_format.perspectives(turns).collect()))
+    assert sorted(map(str, chat_format.perspectives(clash).collect())) == want and len(want) == 6
+    seg = chat_format.perspectives(turns).withColumns({"p": F.lit(1), "text": F.lit("clash"), "spans": F.lit(2)})
+    assert {r.perspective: len(r.spans) for r in chat_format.assembled(seg).collect()} == {"ann": 1, "bob": 2}
+    assert chat_format.assembled(seg.limit(0)).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    for c in ("id", "raw", "dim", "cid", "v", "m", "rep", "label", "n", "a", "b", "sim", "node"):
+        vectors = vectors.withColumn(c, F.lit("clash"))
+    assert sorted(map(tuple, embedding_dedup.near_vectors(vectors).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_chat_long(spark):
     rows = [(1, i, ("ann", "bob")[i % 2], "m" * (i % 13)) for i in range(1500)]
     seg = chat_format.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
