@@ -29,7 +29,7 @@ from .shingles import WORDS, jaccard_at_least, shingle_sets
 PERMUTATIONS, ROWS = 120, 5
 PERCENT = 75
 #: Comparisons with one document that stay together; more are dealt to parts.
-TOGETHER = 256
+TOGETHER = 64
 #: Sets on one side of a pair of blocks, and elements of them.
 SIDE, ELEMENTS = 2048, 1 << 20
 #: Sets hashed at a time; bounds the arrays.
