@@ -178,15 +178,27 @@ def test_pack_is_optimal():
     assert short  # powers of two below half a window are used
 
 
+def test_slices_encode_as_the_whole(monkeypatch):
+    from pagemill.llm import bpe
+
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    e, whole_tokens = bpe.encoder(), bpe.prove_whole_tokens()
+    for text in ("one two  three.\n\n four " * 40, "x" * 400, "中文 字  和 mixed　text, é ü <|endoftext|> 1234 " * 20, " " * 300, "a\t\tb\r\n" * 90):
+        parts = list(bpe.slices(text))
+        assert "".join(parts) == text and (len(parts) > 1) == bool(re.search(r"\S\s", text[50:]))
+        whole = e.exact.encode(text, add_special_tokens=False).ids
+        assert np.concatenate([e.array(p) for p in parts]).tolist() == whole == e.array(text).tolist()
+        assert sum(sum(bpe.Counts(e, whole_tokens).of(bpe.PIECE.findall(p))) for p in parts) == len(whole)
+
+
 def test_pack_in_segments(spark, monkeypatch):
-    """Documents longer than a segment and a slice, and segments that end inside them, give whole documents all the same."""
+    """Documents longer than a segment, and segments that end inside them, give whole documents all the same."""
     import zlib
 
     from pagemill.llm import bpe
 
     monkeypatch.setattr(packing, "SEGMENT", 3000)
-    monkeypatch.setattr(bpe, "SLICE", 5000)
-    texts = ["a few words. " * 30, "", "no stop at all " * 4000, "one two three. " * 3000, "x", "é — ü. " * 2000] * 2
+    texts = ["a few words. " * 30, "", "no stop at all " * 4000, "one two three. " * 3000, "long beyond a slice. " * 60_000, "x", "é — ü. " * 2000] * 2
     got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), window=256, with_ids=True).toPandas()
     sizes = got.groupby("sequence_id").length.sum()
     assert sizes.max() <= 256 and sorted(sizes.index) == list(range(len(sizes)))
@@ -396,3 +408,17 @@ def test_own_text_beside_blank_rows(spark):
     found = spark.createDataFrame(rows, "cid long, n long, f1 long, f2 long, t string").coalesce(1)
     assert [tuple(r) for r in near_dedup._own_text(found).collect()] == [(1, text)]
     assert near_dedup._own_text(found.filter("trim(t) = '' or t is null")).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from pagemill.llm import _common
+
+    _common.clear_scratch(spark)
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(1, "a" * 9000), (2, "b"), (3, "a" * 9000)], "doc_id long, text string"))
+    assert sorted((r.doc_id, r.keep_id) for r in got.collect()) == [(1, 3), (2, 2), (3, 3)]
+    bases = [b.removeprefix("file://") for b in _common._made]
+    assert bases and all(set(os.listdir(b)) <= {"rows", "groups"} for b in bases if os.path.isdir(b))
+    _common.clear_scratch(spark)
+    assert not any(os.path.isdir(b) for b in bases)
