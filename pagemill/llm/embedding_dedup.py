@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, runs, with_code
+from ._common import Scratch, runs, tidied, with_code
 from .graph import components
 
 K = 10
@@ -30,8 +30,9 @@ CIRCLE, TOLD = 16, 5
 ROUNDS = 3
 #: Classes that the audit samples: at first, and at most while fewer than LINKED of them have links.
 AUDITED, MOST_AUDITED, LINKED, RECALL = 4096, 16384, 100, 0.99
-#: Vectors in a block of a saturated component, and balls in a block of the comparison of components.
-SIDE, BALLS = 256, 2048
+#: Vectors in a block of a saturated component: more in components of more than BLOCKS blocks, up to the second number.
+#: Balls in a block of the comparison of components.
+SIDE, LARGEST_SIDE, BLOCKS, BALLS = 256, 2048, 256, 2048
 #: Added to angles, against rounding.
 SLACK = 1e-6
 ROUGH = 0.01
@@ -158,18 +159,15 @@ def _checked(graph: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [_cosine(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            size, other = (np.fromiter(map(len, z), np.int64, len(z)) for z in (x, y))
+            keep = np.zeros(len(x), bool)
+            for n in np.unique(size[size == other]).tolist():
+                at = np.flatnonzero((size == n) & (other == n))
+                keep[at] = (_unit([x[i] for i in at], None) * _unit([y[i] for i in at], None)).sum(1) >= least
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b").mapInArrow(run, "a long, b long")
-
-
-def _cosine(x: bytes, y: bytes) -> float:
-    a, b = np.frombuffer(x, np.float64), np.frombuffer(y, np.float64)
-    if len(a) != len(b):
-        return -2.0
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
-    return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    return near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "raw_a", "raw_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def _enlarged(full: DataFrame, least: float) -> DataFrame:
@@ -177,7 +175,8 @@ def _enlarged(full: DataFrame, least: float) -> DataFrame:
 
     Members are dealt to blocks; each pair of blocks is one piece of work, which returns counts and no pairs.
     """
-    sizes = full.groupBy("label").count().select("label", F.ceil(F.col("count") / SIDE).cast("int").alias("blocks"))
+    side = F.greatest(F.lit(SIDE), F.least(F.lit(LARGEST_SIDE), F.ceil(F.col("count") / BLOCKS)))
+    sizes = full.groupBy("label").count().select("label", F.ceil(F.col("count") / side).cast("int").alias("blocks"))
     dealt = full.join(sizes, "label").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
@@ -390,5 +389,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     names = scratch.save(counted.groupBy("label").agg(F.min("rep").alias("component_id")), "names")
     per_class = counted.join(names, "label").join(classes.select("cid", "raw"), "cid").select("raw", "n_links", "component_id")
     out = rows.join(scratch.save(per_class, "per_class"), "raw", "left")
+    scratch.keep("rows", "per_class")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
