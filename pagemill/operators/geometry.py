@@ -24,15 +24,47 @@ def reassign_figures(segments: DataFrame, captions: DataFrame) -> DataFrame:
     """Segments (chapter, pid, page, y0, y1, ink_only) and captions (chapter, pid, page, y). A figure-only segment
     moves to the problem its caption names; one that holds text too is copied; captions of two problems leave it where
     it is, marked. One row per segment and owner."""
-    hit = captions.select("chapter", F.col("pid").alias("named"), "page", "y")
-    joined = segments.join(hit, ["chapter", "page"], "left").withColumn("in", F.coalesce((F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")) & (F.col("named") != F.col("pid")), F.lit(False)))
-    g = joined.groupBy(*segments.columns).agg(F.array_sort(F.collect_set(F.when(F.col("in"), F.col("named")))).alias("names"))
+    hit = captions.select("chapter", F.col("pid").alias("named"), "page", "y").filter("named is not null")
+    span = ["chapter", "page", "y0", "y1"]
+    named = _few_names(segments.select(*span).distinct().filter("y0 <= y1"), hit)
+    found = segments.distinct().join(named, span, "left").withColumn("names", F.filter(F.coalesce("_names", F.array().cast(dict(named.dtypes)["_names"])), lambda n: n != F.col("pid")))
+    g = found.select(*segments.columns, "names")
     action = F.when(F.size("names") == 0, "keep").when(F.size("names") > 1, "unresolved").when(F.col("ink_only"), "move").otherwise("copy")
     g = g.withColumn("action", action)
     owners = F.when(F.col("action") == "move", F.col("names")).when(F.col("action") == "copy", F.concat(F.array("pid"), "names")).otherwise(F.array("pid"))
     return g.withColumn("owner", F.explode(owners)).drop("names")
 
 
+def _few_names(spans: DataFrame, hit: DataFrame, top: int = 16) -> DataFrame:
+    """(chapter, page, y0, y1, _names): the names that captions inside of a span give, all of them up to three and three of
+    more, which tells none, one and several apart whichever name is the span's own.
+
+    Rows of pixels are put together in pairs, pairs of these and so on, and each stretch keeps three names. A span asks
+    for the few stretches that make up the rows between its ends, and compares captions one by one in the end rows only.
+    """
+    place = ["chapter", "page"]
+
+    def three(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("named"))).filter("_r <= 3").drop("_r")
+
+    at = hit.withColumn("_cell", F.floor("y"))
+    cells = three(at.select(*place, "_cell", "named"), *place, "_cell")
+    level = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_level")
+    tree = cells.select("*", level).withColumn("_node", F.expr("shiftright(_cell, _level)"))
+    tree = three(tree.select(*place, "_level", "_node", "named"), *place, "_level", "_node")
+    lo, hi = F.floor("y0") + 1, F.floor("y1")  # rows from lo, below hi
+    first, end = lambda n: -F.floor(-lo / F.pow(F.lit(2), n)), lambda n: F.floor(hi / F.pow(F.lit(2), n))
+    node = lambda n, at: F.struct(n.alias("_level"), at.alias("_node"))
+    inner = F.transform(F.sequence(F.lit(0), F.lit(top - 1)), lambda n: F.when(first(n) < end(n), F.array_compact(F.array(F.when(first(n) % 2 != 0, node(n, first(n))), F.when(end(n) % 2 != 0, node(n, end(n) - 1))))))
+    n = F.lit(top)
+    outer = F.when(first(n) < end(n), F.transform(F.sequence(first(n), end(n) - 1), lambda at: node(n, at)))
+    asked = spans.select("*", F.explode(F.flatten(F.array_compact(F.concat(inner, F.array(outer))))).alias("_n")).select(*spans.columns, "_n.*")
+    whole = asked.join(tree, [*place, "_level", "_node"]).select(*spans.columns, "named")
+    ends = spans.withColumn("_cell", F.explode(F.array_distinct(F.array(F.floor("y0"), F.floor("y1")))))
+    edge = ends.join(three(at.select(*place, "_cell", "y", "named"), *place, "y"), [*place, "_cell"]).filter("y >= y0 and y <= y1").select(*spans.columns, "named")
+    return three(whole.unionByName(edge), *spans.columns).groupBy(*spans.columns).agg(F.array_sort(F.collect_list("named")).alias("_names"))
+
+
 def side_figures(lines: DataFrame, width: Column) -> DataFrame:
     """Pages where text leaves a side free: lines that end left of 60 % of the width while others reach the edge, as (page, y0, y1, x_free)."""
     short = lines.filter(F.col("x1") < 0.6 * width)
