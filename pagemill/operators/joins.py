@@ -84,11 +84,30 @@ def overlap(a: str, b: str) -> Column:
     return side("x0", "x1") * side("y0", "y1")
 
 
+def _stripes(lo: str, hi: str, stripe: int = 64) -> Column:
+    """The stripes of a page that a side reaches into, a row each."""
+    return F.explode(F.sequence(F.floor(F.least(lo, hi) / stripe), F.floor(F.greatest(lo, hi) / stripe)))
+
+
 def mask_owner(masks: DataFrame, boxes: DataFrame) -> DataFrame:
     """The box on a mask's page that it overlaps most, -1 if none; of equals the first. masks (mask, page, m...),
-    boxes (box, page, b...) with the prefixes m and b on x0, y0, x1, y1."""
+    boxes (box, page, b...) with the prefixes m and b on x0, y0, x1, y1.
+
+    Equal rectangles are compared once, and only where they share a stripe of their page. Of boxes that differ in one
+    side, one that lies within a box of a smaller number is never an owner and is left out. First the greatest area of a
+    mask is found and then the first box that has it, so pairs are never kept.
+    """
+    m, b = [f"m{c}" for c in ("x0", "y0", "x1", "y1")], [f"b{c}" for c in ("x0", "y0", "x1", "y1")]
+    spots = masks.select("page", *m).distinct().filter("mx0 < mx1 and my0 < my1").withColumn("_s", _stripes("my0", "my1"))
+    kept = boxes.filter("bx0 < bx1 and by0 < by1").groupBy("page", *b).agg(F.min("box").alias("box"))
+    for side, outer in (("bx1", 1), ("bx0", -1), ("by1", 1), ("by0", -1)):
+        before = Window.partitionBy("page", *[c for c in b if c != side]).orderBy(F.col("box").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        kept = kept.withColumn("_far", F.max(outer * F.col(side)).over(before)).filter(F.col("_far").isNull() | (outer * F.col(side) > F.col("_far"))).drop("_far")
+    kept = kept.withColumn("_s", _stripes("by0", "by1"))
     area = overlap("m", "b")
-    joined = masks.join(boxes, "page", "left").withColumn("area", F.coalesce(area, F.lit(0)))
+    most = spots.join(kept, ["page", "_s"]).groupBy("page", *m).agg(F.max(area).alias("area")).filter("area > 0")
+    owners = spots.join(most, ["page", *m]).join(kept, ["page", "_s"]).filter(area == F.col("area")).groupBy("page", *m).agg(F.min("box").alias("box"), F.max("area").alias("area"))
+    joined = masks.join(owners, ["page", *m], "left").withColumn("area", F.coalesce("area", F.lit(0)))
     best = joined.groupBy("mask").agg(F.max_by(F.struct("box", "area"), F.struct(F.col("area"), -F.col("box"))).alias("b"))
     return best.select("mask", F.when(F.col("b.area") > 0, F.col("b.box")).otherwise(F.lit(-1)).cast("long").alias("owner"), F.coalesce(F.when(F.col("b.area") > 0, F.col("b.area")), F.lit(0)).cast("long").alias("area"))
 
