@@ -29,7 +29,7 @@ def validate_plain(rows: DataFrame, doc: str, order: list[str], index: str, kind
     return fold(numbered, [doc], [*order, "_kind", "_k"], ["_kind", "_k"], lambda: Plain(skip), "accepted array<bigint>")
 
 
-def find_anchors(lines: DataFrame, doc: str = "doc", skip: int = MAX_SKIP) -> DataFrame:
+def find_anchors(lines: DataFrame, doc: str = "doc", skip: int = MAX_SKIP, chapter_digits: int = 2) -> DataFrame:
     """W1, W2, W3 in full: numbers of exercises in documents, as (doc, page, y0, x0, ch, k, gap).
 
     lines (doc, page, y0, x0, W, text, kind, page_kind, page_chapter, exam) are body lines with their kinds (P2, P3) and
@@ -37,7 +37,7 @@ def find_anchors(lines: DataFrame, doc: str = "doc", skip: int = MAX_SKIP) -> Da
     the expected number of the chapter; one at most ``skip`` above, which leaves a gap; 1 of any chapter within a page of
     a heading. Once a number with the word for exercise in front was accepted, others do not count in that section. Lines
     without candidates may hold plain numbers, which count by chapter, in exams also on from the section before. Null
-    texts, pages or tops are no lines; a null ``exam`` is no exam.
+    texts, pages or tops are no lines; a null ``exam`` is no exam. Chapters have ``chapter_digits`` digits at most.
     """
     text = F.trim("text")
     section = F.regexp_extract(text, T.EXAM_SECTION, 1)
@@ -47,7 +47,7 @@ def find_anchors(lines: DataFrame, doc: str = "doc", skip: int = MAX_SKIP) -> Da
     seen = lines.filter("text is not null and page is not null and y0 is not null").select(
         doc, "page", F.col("y0").cast("double").alias("y0"), F.col("x0").cast("double").alias("x0"), F.coalesce("exam", F.lit(False)).alias("_exam"), "page_kind", "page_chapter", "kind",
         F.when(opener != "", opener.cast("int")).alias("_opener"), F.when(heads, F.coalesce(T.chinese_numeral(F.left(section, F.lit(1))), F.lit(0))).alias("_section"),
-        ((F.col("x0") <= 0.5 * F.col("W")) & (text != "")).alias("_left"), T.anchor_candidates(text).alias("_candidates"), F.col("text").rlike(T.PREFIX).alias("_prefixed"), F.when(number.rlike(r"^\d+$"), number.cast("int")).alias("_number"),
+        ((F.col("x0") <= 0.5 * F.col("W")) & (text != "")).alias("_left"), T.anchor_candidates(text, chapter_digits).alias("_candidates"), F.col("text").rlike(T.PREFIX).alias("_prefixed"), F.when(number.rlike(r"^\d+$"), number.cast("int")).alias("_number"),
     )
     values = ["page", "y0", "x0", "_exam", "page_kind", "page_chapter", "kind", "_opener", "_section", "_left", "_candidates", "_prefixed", "_number"]
     return fold(seen, [doc], ["page", "y0", "x0"], values, lambda: Anchors(skip), "page int, y0 double, x0 double, ch int, k int, gap array<int>")
