@@ -447,7 +447,7 @@ MERGED_REPORTS = "SELECT p_partkey, p_partkey AS a, CASE WHEN p_partkey % 2 = 0
 
 def scanned_pages(spark: SparkSession, sf: str) -> DataFrame:
     """S5, S6, S7, S10."""
-    spans = _cols(table(spark, sf, "lineitem"), page="l_orderkey % 60", line="l_suppkey", seq="l_linenumber * 1000000 + l_partkey", x0="cast(l_partkey % 100 as double)", x1="cast(l_partkey % 100 + 30 as double)", y0="cast(l_suppkey as double)", y1="cast(l_suppkey + 9 as double)", text="case when l_linenumber > 2 then concat(l_returnflag, ' ') else ' ' end")
+    spans = _cols(table(spark, sf, "lineitem"), page="l_orderkey % 60", line="l_suppkey", seq="struct(l_linenumber * 1000000 + l_partkey, l_returnflag)", x0="cast(l_partkey % 100 as double)", x1="cast(l_partkey % 100 + 30 as double)", y0="cast(l_suppkey as double)", y1="cast(l_suppkey + 9 as double)", text="case when l_linenumber > 2 then concat(l_returnflag, ' ') else ' ' end")
     lines = tables.scaled_lines(spans, 144).withColumn("W", F.lit(300)).withColumn("med_h", F.lit(18.0))
     again = tables.lines_to_recognise(lines).groupBy("page").agg(F.count(F.lit(1)).alias("again"))
     whole = lines.groupBy("page").agg(F.sum("x1").alias("reach"), F.sum(F.length("text")).cast("long").alias("chars"))
