@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import spread
 
 # Where a text can come from.
 IMPORTED = ("imported", "imported_check")
@@ -155,10 +156,23 @@ def runs_with_heading(runs: DataFrame, headings: DataFrame, key: str, page: str)
     return joined.groupBy(*runs.columns).agg(F.min("_h").alias("heading"))
 
 
-def touching(codes: DataFrame, crops: DataFrame) -> DataFrame:
-    """Codes (page, q...) that overlap a crop (page, c...) with more than an edge."""
+def touching(codes: DataFrame, crops: DataFrame, block: int = 1024) -> DataFrame:
+    """Codes (page, q...) that overlap a crop (page, c...) with more than an edge.
+
+    The result has a row for each pair, so on crowded pages it grows with the square of the input; what is done besides
+    does not. Equal rectangles are compared once, where both begin or go on in a stripe of their page, and crops of one
+    rectangle stand in blocks, each of which meets its codes in a place of its own.
+    """
+    q, c = [f"q{x}" for x in ("x0", "y0", "x1", "y1")], [f"c{x}" for x in ("x0", "y0", "x1", "y1")]
     inside = (F.col("qy0") < F.col("cy1")) & (F.col("qy1") > F.col("cy0")) & (F.col("qx1") > F.col("cx0")) & (F.col("qx0") < F.col("cx1"))
-    return codes.join(crops, "page").filter(inside)
+    first = F.floor(F.greatest(F.least("qy0", "qy1"), F.least("cy0", "cy1")) / 64)  # the first stripe that both reach
+    spots, areas = codes.select("page", *q).distinct().withColumn("_s", _stripes("qy0", "qy1")), crops.groupBy("page", *c).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    met = spots.join(areas.withColumn("_s", _stripes("cy0", "cy1")), ["page", "_s"]).filter(inside & (F.col("_s") == first)).drop("_s")
+    rest = [x for x in crops.columns if x != "page"]
+    packed = crops.join(areas, ["page", *c]).withColumn("_b", F.pmod(F.xxhash64(*crops.columns), "_blocks")).groupBy("page", *c, "_b").agg(F.collect_list(F.struct(*rest)).alias("_crops"))
+    pairs = codes.join(met, ["page", *q]).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    pairs = spread(pairs, "page", *c, "_b").join(packed, ["page", *c, "_b"])
+    return pairs.select("page", *[x for x in codes.columns if x != "page"], F.explode("_crops").alias("_c")).select("*", "_c.*").drop("_c")
 
 
 def captions_to_owners(captions: DataFrame, problems: DataFrame, owned: DataFrame) -> DataFrame:
