@@ -231,21 +231,21 @@ def ink_trim(profile: Column, height: int, most: int = 2) -> Column:
     """The end of the last ink block of a column of row counts, after dropping up to ``most`` small trailing blocks
     that stand ``3 * height`` or more below the block before."""
     block = "struct<a:int,b:int>"
-    start = F.array().cast(f"array<{block}>")
+    none = F.array_repeat(F.lit(None).cast(block), most + 1)  # the last blocks, the latest first
 
     def grow(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        touches = F.coalesce(last["b"] == x["i"], F.lit(False))
-        longer = F.concat(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), (x["i"] + 1).alias("b"))))
-        return F.when(~x["ink"], s).when(touches, longer).otherwise(F.concat(s, F.array(F.struct(x["i"].alias("a"), (x["i"] + 1).alias("b")))))
+        new = lambda a: F.struct(a.alias("a"), (x["i"] + 1).alias("b"))
+        touches = F.coalesce(s[0]["b"] == x["i"], F.lit(False))
+        return F.when(~x["ink"], s).when(touches, F.concat(F.array(new(s[0]["a"])), F.slice(s, 2, most))).otherwise(F.concat(F.array(new(x["i"])), F.slice(s, 1, most)))
 
-    found = F.aggregate(F.transform(profile, lambda v, i: F.struct(i.alias("i"), (v > 0).alias("ink"))), start, grow)
-    for _ in range(most):
-        n = F.size(found)
-        last, before = F.try_element_at(found, F.lit(-1)), F.try_element_at(found, F.lit(-2))
-        drop = F.coalesce((last["a"] - before["b"] >= 3 * height) & (last["b"] - last["a"] < height), F.lit(False))
-        found = F.when(drop, F.slice(found, 1, F.greatest(n - 1, F.lit(0)))).otherwise(found)
-    return F.coalesce(F.try_element_at(found, F.lit(-1))["b"], F.lit(0))
+    def end(s: Column) -> Column:
+        out = s[most]["b"]
+        for i in reversed(range(most)):
+            drop = (s[i]["a"] - s[i + 1]["b"] >= 3 * height) & (s[i]["b"] - s[i]["a"] < height)
+            out = F.when(F.coalesce(drop, F.lit(False)), out).otherwise(s[i]["b"])
+        return F.coalesce(out, F.lit(0))
+
+    return F.aggregate(F.transform(profile, lambda v, i: F.struct(i.alias("i"), (v > 0).alias("ink"))), none, grow, end)
 
 
 def longest_true_run(flags: Column) -> Column:
@@ -268,8 +268,8 @@ def blank_band_above(ink: Column, y: Column) -> Column:
         fresh = blank & ~s["open"]
         return F.when(x["i"] >= y, s).otherwise(F.struct(F.when(fresh, x["i"]).otherwise(s["top"]).alias("top"), F.when(blank, x["i"]).otherwise(s["bottom"]).alias("bottom"), blank.alias("open")))
 
-    band = F.aggregate(F.transform(ink, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), start, step)
-    return F.when(band["bottom"] < 0, 0).otherwise(F.floor((band["top"] + band["bottom"]) / 2)).cast("int")
+    end = lambda band: F.when(band["bottom"] < 0, 0).otherwise(F.floor((band["top"] + band["bottom"]) / 2)).cast("int")
+    return F.aggregate(F.transform(ink, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), start, step, end)
 
 
 def carry_forward_sections(events: DataFrame, order: list[str], page: str, y: str, section: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import geometry as G
 from ..operators import joins as J
 from ..operators import sequences as W
+from ..shipping import spread
 from ..sources import sinks, tables
 from ..sources.tables import table
 from . import views
@@ -264,7 +265,7 @@ def ink_rules(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("p_partkey")
     ink = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.when((key + i * i) % 5 < 2, (key + i) % 7 + 1).otherwise(0).cast("int"))
     dark = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.when((i >= F.col("p_size") % 10) & (i < F.col("p_size") % 10 + key % 6), 100).otherwise(key % 50).cast("int"))
-    p = table(spark, sf, "part").select("p_partkey", "p_size", ink.alias("ink"), dark.alias("dark"))
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", "p_size", ink.alias("ink"), dark.alias("dark"))
     flags = F.transform("ink", lambda v: v > 0)
     return p.select("p_partkey", W.ink_trim(F.col("ink"), 1).cast("long").alias("trimmed"), W.blank_band_above(F.col("ink"), (key % 30).cast("int")).cast("long").alias("band"), W.longest_true_run(flags).cast("long").alias("run"), G.dark_bar_end(F.col("dark"), F.lit(160), (F.col("p_size") % 10).cast("int")).cast("long").alias("bar"), J.touches_edge(F.col("ink"), F.lit(30), key % 4 == 0).alias("touches"))
 
