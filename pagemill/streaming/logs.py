@@ -15,11 +15,23 @@ def trailing(log: DataFrame, ts: str, total: str, failed: Column, keep: list[str
     """ST1 to ST3 per row: rows and sum of the last ``minutes`` and failures of the last ``fail_minutes``, both ends included.
 
     The log is cut into stretches as long as the longer window; a row goes to its own stretch and, as history, to the
-    next one, so every window is whole within one stretch and stretches run in parallel.
+    next one, so every window is whole within one stretch and stretches run in parallel. A row is added when it comes and
+    taken off again once a window has passed it, so running sums do and a row costs the same however dense the log is;
+    only totals that are no exact numbers are summed up window by window.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     size = max(minutes, fail_minutes) * 60_000_000
     own = F.floor(us / size)
+    if dict(log.dtypes)[total] not in ("float", "double"):
+        v, f, none = F.coalesce(total, F.lit(0)), F.coalesce(failed.cast("int"), F.lit(0)), F.lit(0)
+        known = F.col(total).isNotNull().cast("int")
+        step = lambda at, late, n, v, known, f: F.struct(at.alias("_at"), F.lit(late).alias("_late"), n.alias("_n"), v.alias("_v"), known.alias("_k"), f.alias("_f"))
+        steps = F.array(step(us, 0, F.lit(1), v, known, f), step(us + minutes * 60_000_000, 1, F.lit(-1), -v, -known, none), step(us + fail_minutes * 60_000_000, 1, none, none.cast(dict(log.dtypes)[total]), none, -f))
+        steps = log.select(*keep, own.alias("_own"), F.explode(steps).alias("_x")).select(*keep, "_own", "_x.*", F.explode(F.array(F.col("_own"), F.col("_own") + 1)).alias("_s"))
+        steps = steps.filter((F.col("_at") < (F.col("_s") + 1) * size) & ((F.col("_n") != 0) | (F.col("_f") != 0)))
+        w = Window.partitionBy("_s").orderBy("_at", "_late")
+        out = steps.select(*keep, "_s", "_own", "_late", *[F.sum(c).over(w).alias(c) for c in ("_n", "_v", "_k", "_f")]).filter("_s = _own and _late = 0")
+        return out.select(*keep, F.col("_n").alias("n5"), F.when(F.col("_k") > 0, F.col("_v")).alias("sum5"), F.col("_f").alias("fail10"))
     rows = log.select(*keep, us.alias("_us"), F.col(total).alias("_v"), failed.cast("int").alias("_f"), F.explode(F.array(own, own + 1)).alias("_s"), own.alias("_own"))
     w = Window.partitionBy("_s").orderBy("_us")
     short, long = w.rangeBetween(-minutes * 60_000_000, 0), w.rangeBetween(-fail_minutes * 60_000_000, 0)
