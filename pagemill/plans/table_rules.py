@@ -117,7 +117,8 @@ FROM (SELECT p_size AS chapter, p_partkey AS problem_id, p_name, {_pick(_SOURCES
 
 def _box_rows(spark: SparkSession, sf: str) -> DataFrame:
     box = F.struct((F.col("l_linenumber") % 3).cast("int").alias("page"), (F.col("l_partkey") % 90).cast("int").alias("y0"), (F.col("l_partkey") % 90 + 10).cast("int").alias("y1"), F.lit(0).alias("x0"), F.col("l_linenumber").cast("int").alias("x1"))
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("problem_id")).agg(F.array_distinct(F.sort_array(F.collect_list(box))).alias("boxes"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", box.alias("box"))
+    return spread(rows, "l_orderkey").groupBy(F.col("l_orderkey").alias("problem_id")).agg(F.array_distinct(F.sort_array(F.collect_list("box"))).alias("boxes"))
 
 
 _BOX_SQL = "SELECT DISTINCT l_orderkey AS problem_id, l_linenumber % 3 AS page, l_partkey % 90 AS y0, l_partkey % 90 + 10 AS y1, 0 AS x0, l_linenumber AS x1 FROM lineitem"
@@ -130,7 +131,7 @@ def review_boxes(spark: SparkSession, sf: str) -> DataFrame:
     checks = boxes.filter("problem_id % 4 = 0").select("problem_id", (F.col("problem_id") % 8 == 0).alias("ok"), F.array().cast("array<string>").alias("problems"))
     pages = spark.createDataFrame([(i, 100 + i) for i in range(3)], "page int, H int")
     expected = table(spark, sf, "orders").filter("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("problem_id"))
-    v = views.review(J.expected_only(boxes, expected, ["problem_id"]), flags, checks, pages)
+    v = views.review(J.expected_only(boxes, expected, ["problem_id"]), flags, checks, F.broadcast(pages))  # three rows
     place = F.row_number().over(Window.partitionBy("problem_id").orderBy(*G.anchor_order(), "x1", "y1"))
     return v.withColumn("place", place).select("problem_id", F.col("box").cast("long").alias("box"), "page", "y0", "H", A.joined("flags").alias("flags"), "ok", F.col("place").cast("long").alias("place"))
 
