@@ -130,7 +130,8 @@ def page_spans(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     a, b, one = key % 250 + 1, key % 250 + F.col("c_nationkey") - 11, key * 7 % 310 + 1
     text = F.when(key % 10 == 0, F.lit("习题页：全部")).when(key % 10 == 1, F.lit("前言")).otherwise(F.concat(F.lit("x\n- **习题页**： 第1章 "), a, F.lit("~"), F.greatest(b, F.lit(1)), F.lit("；第 2 章 "), one, F.lit("。\ny")))
-    return T.page_ranges(table(spark, sf, "customer").select(key.alias("doc"), text.alias("t")), "doc", "t", 300)
+    rows = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return T.page_ranges(rows.select(key.alias("doc"), text.alias("t")), "doc", "t", 300)
 
 
 PAGE_SPANS = """
